@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.race_tables import CUTOFF, WINDOW, evaluation_races, landed, race_tables
+from checks.race_tables import CUTOFF, WINDOW, evaluation_races, landed
 from oddsmith.functions import expressions as X
 from oddsmith.operators import asof, evaluation, history, matrix, models, pricing
 from oddsmith.plans import prediction
@@ -18,6 +19,7 @@ from oddsmith.settings import Course
 from oddsmith.sources import entries as entry_source
 from oddsmith.sources import results as result_source
 from oddsmith.sources import store
+from oddsmith.workspace import stored
 
 KEY = ["race_id", "horse_number"]
 HORSE = [
@@ -41,6 +43,10 @@ class Tables:
     runners: DataFrame
     results: DataFrame
 
+    def fresh(self, name: str) -> str:
+        """A path of its own for each call, so that no later query overwrites an earlier result."""
+        return f"{self.folder}/{name}-{uuid.uuid4().hex}"
+
     @property
     def past(self) -> DataFrame:
         return result_source.before(self.results, CUTOFF)
@@ -60,13 +66,8 @@ class Tables:
 
 def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
     folder = landed(spark, sf_dir)
-    race, horse, jockey = race_tables(spark, folder)
-    return Tables(
-        spark,
-        folder,
-        result_source.runners(race, horse, jockey),
-        result_source.results_scan(race, horse, jockey),
-    )
+    rows = spark.read.parquet(f"{folder}/runners")
+    return Tables(spark, folder, rows, result_source.history_of(rows))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -97,7 +98,8 @@ def _priced(t: Tables, k: float = 1.2, floor: float | None = None) -> DataFrame:
 
 
 def results_scan(t: Tables) -> DataFrame:
-    return t.results
+    paths = [f"{t.folder}/{name}" for name in ("race", "horse", "jockey")]
+    return result_source.results_scan(*result_source.read_tables(t.spark, *paths))
 
 
 def training_scope(t: Tables) -> DataFrame:
@@ -126,8 +128,8 @@ def entry_list(t: Tables) -> DataFrame:
 
 
 def feature_store_roundtrip(t: Tables) -> DataFrame:
-    folder = f"{t.folder}/features"
-    store.load_or_build(t.results, folder, window=WINDOW, force_refresh=True)
+    folder = t.fresh("features")
+    store.load_or_build(t.results, folder, window=WINDOW)
     kept = store.load_or_build(t.results, folder, window=WINDOW)
     joined = kept.combo.join(kept.jockey, "jockey_name", "left").join(
         kept.horse, "horse_name", "left"
@@ -461,8 +463,8 @@ def model_importance(t: Tables) -> DataFrame:
 
 def model_roundtrip(t: Tables) -> DataFrame:
     recipe = _small("v16")
-    path = f"{t.folder}/model"
-    models.load_or_fit(t.spark, path, lambda: _fitted(t, "v16")[1], force=True)
+    path = t.fresh("model")
+    models.load_or_fit(t.spark, path, lambda: _fitted(t, "v16")[1])
     kept = models.load_or_fit(t.spark, path, lambda: _fitted(t, "v16")[1])
     return prediction.predict(kept, _past_matrix(t, t.entries), recipe)
 
@@ -476,8 +478,9 @@ def _backtest_input(t: Tables) -> tuple[DataFrame, DataFrame]:
         {"odds": F.col("actual_odds"), "is_target": F.lit(True)}
     )
     rows = prediction.asof_matrix(t.results, train.unionByName(entries), window=WINDOW)
-    stored = rows.select(*columns, *[f for f in FINAL_FEATURES if f not in columns]).checkpoint()
-    return stored.where(~F.col("is_target")), stored.where("is_target")
+    wide = rows.select(*columns, *[f for f in FINAL_FEATURES if f not in columns])
+    kept = stored(wide, t.fresh("backtest"))
+    return kept.where(~F.col("is_target")), kept.where("is_target")
 
 
 def backtest_model(t: Tables) -> DataFrame:

@@ -1,8 +1,8 @@
 """Race tables derived from the given order tables, so that real rows drive every query.
 
 An order is a race, a line item a runner, a part a horse, a supplier a jockey, and the line's
-price the money bet on the runner. The race table is written once per application to the
-shared folder and read back, as a stored results table would be.
+price the money bet on the runner. The derived tables are written once per application to the
+shared folder and read back, as stored race results would be.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddsmith.settings import Course, HistoryWindow
-from oddsmith.sources.results import on_course, read_tables
-from oddsmith.workspace import fingerprint, is_complete, shared_dir
+from oddsmith.sources.results import by_race, on_course, runners
+from oddsmith.workspace import fingerprint, is_complete, shared_dir, stored
 
 # The dates that split the given data as the real ones split theirs.
 CUTOFF = "2000/11/01"
@@ -197,32 +197,27 @@ def _race(lineitem: DataFrame, orders: DataFrame, giant: int = GIANT_RACE) -> Da
 
 
 def landed(spark: SparkSession, sf_dir: str) -> str:
-    """The folder with the race, horse and jockey tables derived from ``sf_dir``."""
+    """The folder with the tables derived from ``sf_dir``: race, horse, jockey and runners."""
     sources = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "part", "supplier")]
     state = "\n".join([spark.sparkContext.applicationId, *(fingerprint(spark, s) for s in sources)])
     folder = f"{shared_dir(spark)}/races-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
-    if not all(is_complete(spark, f"{folder}/{name}") for name in ("race", "horse", "jockey")):
+    if not is_complete(spark, f"{folder}/runners"):
         lineitem, orders, part, supplier = (spark.read.parquet(s) for s in sources)
-        # sorted files let a date filter skip row groups
-        race = _race(lineitem, orders).sortWithinPartitions("date_text")
-        race.write.mode("overwrite").parquet(f"{folder}/race")
-        for name, table, key, mark in (
-            ("horse", part, "p_partkey", "H"),
-            ("jockey", supplier, "s_suppkey", "J"),
-        ):
-            label = F.concat(F.lit(mark), F.col(key).cast("string"))
-            named = table.select(F.col(key).cast("bigint").alias("id"), label.alias("name"))
-            named.write.mode("overwrite").parquet(f"{folder}/{name}")
+        race = stored(_race(lineitem, orders), f"{folder}/race")
+        horse = stored(_named(part, "p_partkey", "H"), f"{folder}/horse")
+        jockey = stored(_named(supplier, "s_suppkey", "J"), f"{folder}/jockey")
+        stored(by_race(runners(race, horse, jockey)), f"{folder}/runners")
     return folder
 
 
-def race_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return read_tables(spark, f"{folder}/race", f"{folder}/horse", f"{folder}/jockey")
+def _named(table: DataFrame, key: str, mark: str) -> DataFrame:
+    label = F.concat(F.lit(mark), F.col(key).cast("string"))
+    return table.select(F.col(key).cast("bigint").alias("id"), label.alias("name"))
 
 
-def evaluation_races(all_runners: DataFrame, min_priced: int = 4) -> DataFrame:
+def evaluation_races(runners_table: DataFrame, min_priced: int = 4) -> DataFrame:
     """The races to predict: under the course's conditions, on or after the cutoff, with enough
     priced runners. Columns race_id, date_text."""
-    later = all_runners.where(on_course(Course()) & (F.col("date_text") >= CUTOFF))
+    later = runners_table.where(on_course(Course()) & (F.col("date_text") >= CUTOFF))
     counted = later.groupBy("race_id", "date_text").agg(F.count("odds").alias("n"))
     return counted.where(F.col("n") >= min_priced).drop("n")

@@ -56,14 +56,34 @@ def runners(race: DataFrame, horse: DataFrame, jockey: DataFrame) -> DataFrame:
     return race.join(horses, "horse_id").join(jockeys, "jockey_id").drop("horse_id", "jockey_id")
 
 
+def by_race(rows: DataFrame) -> DataFrame:
+    """``rows`` laid out for storage by race day, race and runner.
+
+    Files then cover separate dates, so a date filter skips most of them, and the runners of a
+    race lie together, so sums per race are almost done before they are shuffled. The runner
+    number in the key splits a giant race over several files.
+    """
+    layout = ["date_text", "race_id", "horse_number"]
+    return rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
+
+
+def history_of(rows: DataFrame) -> DataFrame:
+    """The history all features are built from: priced runners, history columns."""
+    return priced(rows).select(*HISTORY_COLUMNS)
+
+
 def priced(rows: DataFrame) -> DataFrame:
     """Only runners with closing odds."""
     return rows.where(F.col("odds").isNotNull())
 
 
 def results_scan(race: DataFrame, horse: DataFrame, jockey: DataFrame) -> DataFrame:
-    """The history all features are built from: priced runners, history columns."""
-    return priced(runners(race, horse, jockey)).select(*HISTORY_COLUMNS)
+    """The history, straight from the base tables.
+
+    Every feature reads it, so store :func:`runners` once (see :func:`by_race`) and take
+    :func:`history_of` that table where the name tables are too large to broadcast.
+    """
+    return history_of(runners(race, horse, jockey))
 
 
 def training_scope(rows: DataFrame, course: Course = Course()) -> DataFrame:

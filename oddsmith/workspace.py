@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -15,10 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting (tests) gets a folder of its own; on a
     cluster a machine-local folder would be invisible to the executors, so that is an error.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _local_dirs:
@@ -44,3 +46,9 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     files, folder = _hadoop_path(spark, path)
     found = files.listStatus(folder)
     return ";".join(sorted(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}" for s in found))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as a table and read back: computed once, and safe from lost executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
