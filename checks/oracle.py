@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from checks.race_tables import CUTOFF, WINDOW
+from checks.race_tables import CUTOFF, PLACES, WINDOW
 from oddsmith.recipes import FINAL_FEATURES
 from oddsmith.settings import K_GRID
 
 
 def six(expression: str, name: str | None = None) -> str:
-    """A double to six places, through a decimal."""
-    return f"cast(round(cast({expression} AS decimal(24,9)), 6) AS double) AS {name or expression}"
+    """A double to six places (odds to four), through a decimal."""
+    name = name or expression
+    places = PLACES.get(name, 6)
+    return f"cast(round(cast({expression} AS decimal(24,9)), {places}) AS double) AS {name}"
 
 
 SECONDS = """CASE WHEN running_time IS NULL OR running_time = '' THEN NULL

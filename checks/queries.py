@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.race_tables import CUTOFF, WINDOW, evaluation_races, landed
+from checks.race_tables import CUTOFF, PLACES, WINDOW, course_races, evaluation_races, landed
 from oddsmith.functions import expressions as X
 from oddsmith.operators import asof, evaluation, history, matrix, models, pricing
 from oddsmith.plans import prediction
@@ -71,10 +71,12 @@ def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Doubles to six places, through a decimal so that halves round the same everywhere."""
+    """Doubles to six places (odds to four), through a decimal so that halves round alike."""
     return df.select(
         *[
-            F.round(F.col(f.name).cast("decimal(24,9)"), 6).cast("double").alias(f.name)
+            F.round(F.col(f.name).cast("decimal(24,9)"), PLACES.get(f.name, 6))
+            .cast("double")
+            .alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields
@@ -471,10 +473,11 @@ def model_roundtrip(t: Tables) -> DataFrame:
 
 def _backtest_input(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Training rows and the five latest target races with point-in-time features, stored once."""
-    wanted = t.targets.orderBy(F.col("date_text").desc(), F.col("race_id").cast("bigint").desc())
+    latest = [F.col("date_text").desc(), F.col("race_id").cast("bigint").desc()]
+    wanted = course_races(t.runners).orderBy(*latest).limit(5)
     columns = [*KEY, "date_text", "odds", "actual_odds", "horse_name", "jockey_name", "is_target"]
     train = t.scope.withColumns({"actual_odds": F.col("odds"), "is_target": F.lit(False)})
-    entries = result_source.race_entries(t.runners, wanted.limit(5)).withColumns(
+    entries = result_source.race_entries(t.runners, wanted).withColumns(
         {"odds": F.col("actual_odds"), "is_target": F.lit(True)}
     )
     rows = prediction.asof_matrix(t.results, train.unionByName(entries), window=WINDOW)

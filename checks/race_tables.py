@@ -21,6 +21,9 @@ from oddsmith.workspace import fingerprint, is_complete, shared_dir, stored
 CUTOFF = "2000/11/01"
 WINDOW = HistoryWindow(jockey_since="1997/08/01", recent_since="1999/08/01")
 
+# Odds grow with the field, so fewer of their decimals are stable under another order of summing.
+PLACES = {"predicted_odds": 4, "odds_before": 4}
+
 
 # A race with more runners than this is ranked in parts. At most rows / GIANT_RACE races can be
 # that large, so the list of them is small however large the data is.
@@ -215,9 +218,12 @@ def _named(table: DataFrame, key: str, mark: str) -> DataFrame:
     return table.select(F.col(key).cast("bigint").alias("id"), label.alias("name"))
 
 
-def evaluation_races(runners_table: DataFrame, min_priced: int = 4) -> DataFrame:
-    """The races to predict: under the course's conditions, on or after the cutoff, with enough
-    priced runners. Columns race_id, date_text."""
-    later = runners_table.where(on_course(Course()) & (F.col("date_text") >= CUTOFF))
-    counted = later.groupBy("race_id", "date_text").agg(F.count("odds").alias("n"))
-    return counted.where(F.col("n") >= min_priced).drop("n")
+def course_races(rows: DataFrame, min_priced: int = 4) -> DataFrame:
+    """Races under the course's conditions with enough priced runners: race_id, date_text."""
+    races = rows.where(on_course(Course())).groupBy("race_id", "date_text")
+    return races.agg(F.count("odds").alias("n")).where(F.col("n") >= min_priced).drop("n")
+
+
+def evaluation_races(rows: DataFrame) -> DataFrame:
+    """The races to predict: those of the course on or after the cutoff."""
+    return course_races(rows).where(F.col("date_text") >= CUTOFF)

@@ -173,6 +173,8 @@ def backtest_scores(
     is fitted per day, several at a time.
     """
     dates = [r.date_text for r in entries.select("date_text").distinct().orderBy("date_text").collect()]
+    if not dates:
+        return entries.withColumn("score", F.lit(None).cast("double"))
 
     def one(date: str) -> DataFrame:
         model = models.fit(before(matrix, date), recipe)
