@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from checks.race_tables import CUTOFF, PLACES, WINDOW, course_races, evaluation_races, landed
 from oddsmith.functions import expressions as X
 from oddsmith.operators import asof, evaluation, history, matrix, models, pricing
+from oddsmith.operators.joins import join_by_key
 from oddsmith.plans import prediction
 from oddsmith.recipes import FINAL_FEATURES, RECIPES
 from oddsmith.settings import Course
@@ -87,7 +88,7 @@ def shown(df: DataFrame) -> DataFrame:
 def _scored(t: Tables) -> DataFrame:
     """Every result row with a raw share from the horse's mean odds."""
     means = history.horse_alltime(t.results).select("horse_name", "horse_avg_odds")
-    rows = t.results.join(means, "horse_name")
+    rows = join_by_key(t.results, means, ["horse_name"], "inner")
     share = X.implied_share(F.col("horse_avg_odds"))
     return rows.withColumn("raw_share", share).withColumn("actual_odds", F.col("odds"))
 
@@ -133,9 +134,7 @@ def feature_store_roundtrip(t: Tables) -> DataFrame:
     folder = t.fresh("features")
     store.load_or_build(t.results, folder, window=WINDOW)
     kept = store.load_or_build(t.results, folder, window=WINDOW)
-    joined = kept.combo.join(kept.jockey, "jockey_name", "left").join(
-        kept.horse, "horse_name", "left"
-    )
+    joined = matrix.attach_features(kept.combo, kept.jockey, kept.horse)
     return joined.select("horse_name", "jockey_name", "combo_avg_finish_pos", *JOCKEY, *HORSE)
 
 
@@ -180,7 +179,7 @@ def sex_encoding(t: Tables) -> DataFrame:
 
 def _after_previous(t: Tables) -> DataFrame:
     rows = t.results.select(*KEY, "horse_name", "jockey_name", "handicap")
-    return matrix.derive(rows.join(history.previous_start(t.past), "horse_name", "left"))
+    return matrix.derive(join_by_key(rows, history.previous_start(t.past), ["horse_name"]))
 
 
 def handicap_diff(t: Tables) -> DataFrame:
@@ -406,7 +405,7 @@ def asof_combo_stats(t: Tables) -> DataFrame:
 
 def scratch_renormalise(t: Tables) -> DataFrame:
     means = history.horse_alltime(t.results).select("horse_name", "horse_avg_odds")
-    rows = t.runners.join(means, "horse_name")
+    rows = join_by_key(t.runners, means, ["horse_name"], "inner")
     first = pricing.price_races(rows, X.implied_share(F.col("horse_avg_odds")), floor=None)
     first = first.withColumn("odds_before", F.col("predicted_odds"))
     after = pricing.renormalise_without(first, F.col("odds").isNull())

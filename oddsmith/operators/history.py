@@ -207,12 +207,3 @@ def horse_features(
     )
     parts = [means, starts, nearest_speed(history, course, window)]
     return reduce(lambda left, right: left.join(right, "horse_name", "left"), parts)
-
-
-def restrict_to(history: DataFrame, rows: DataFrame, key: str = "horse_name") -> DataFrame:
-    """Only the history of keys that occur in ``rows``.
-
-    Pricing a few races needs the features of their runners, not of every horse; filtering
-    first keeps the rest of the history out of the shuffles.
-    """
-    return history.join(rows.select(key).distinct(), key, "left_semi")

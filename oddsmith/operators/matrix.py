@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.functions.expressions import handicap_diff, jockey_changed
+from oddsmith.operators.joins import join_by_key
 
 # Columns that come with the entry itself; imputation at scoring time leaves them alone.
 ENTRY_SIDE = (
@@ -22,13 +23,13 @@ def attach_features(
 ) -> DataFrame:
     """``rows`` left-joined to jockey, horse and (horse, jockey) features.
 
-    No side is forced to broadcast: the feature tables grow with the data, so the engine
-    decides by their measured size. Each join sits on an exchange of its own, so that a hot
-    jockey or horse among ``rows`` can be split across tasks.
+    No feature table is forced to broadcast, for they grow with the data; a hot jockey or
+    horse among ``rows`` is spread over several tasks.
     """
-    joined = rows.join(jockey, "jockey_name", "left").join(horse, "horse_name", "left")
+    joined = join_by_key(rows, jockey, ["jockey_name"])
+    joined = join_by_key(joined, horse, ["horse_name"], counted=rows)
     if combo is not None:
-        joined = joined.join(combo, ["horse_name", "jockey_name"], "left")
+        joined = join_by_key(joined, combo, ["horse_name", "jockey_name"], counted=rows)
     return joined
 
 

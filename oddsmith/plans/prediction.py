@@ -19,8 +19,8 @@ from oddsmith.operators.history import (
     horse_alltime,
     horse_features,
     jockey_stats,
-    restrict_to,
 )
+from oddsmith.operators.joins import join_by_key, restrict_to
 from oddsmith.operators.matrix import attach_features, derive
 from oddsmith.operators.pricing import price_races, report
 from oddsmith.recipes import Recipe
@@ -147,14 +147,17 @@ def baseline_backtest(
     if point_in_time:
         known = asof.asof_horse_odds(past, asked)
     else:
-        known = asked.join(horse_alltime(past).select("horse_name", "horse_avg_odds"), "horse_name", "left")
+        means = horse_alltime(past).select("horse_name", "horse_avg_odds")
+        known = join_by_key(asked, means, ["horse_name"])
     entries = known.where("_target").withColumn("_day", race_day(F.col("date_text")))
     training = known.where(~F.col("_target")).select("date_text", "horse_avg_odds")
     # every target day gets a row, also where no training row ran on that day
     days = training.unionByName(
         entries.select("date_text", F.lit(None).cast("double").alias("horse_avg_odds"))
     )
-    filled = entries.join(_mean_before(days, "horse_avg_odds"), "_day", "left")
+    # one row per race day, so a few thousand for any amount of data
+    by_day = F.broadcast(_mean_before(days, "horse_avg_odds"))
+    filled = entries.join(by_day, "_day", "left")
     odds = F.coalesce("horse_avg_odds", "_mean")
     result = price_races(filled, implied_share(odds), k, floor=None)
     errors = log_rmse(

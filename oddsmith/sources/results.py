@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddsmith.operators.joins import keep_listed
 from oddsmith.schema import NAMED, RACE
 from oddsmith.settings import Course
 
@@ -49,7 +50,7 @@ def runners(race: DataFrame, horse: DataFrame, jockey: DataFrame) -> DataFrame:
     """Every runner of every race with the names of horse and jockey, scratched ones included.
 
     The joins carry no broadcast hint: the name tables grow with the data, so the engine
-    decides by their measured size, and splits a hot horse or jockey when it sorts and merges.
+    decides by their size, and splits a hot horse or jockey where it sorts and merges two scans.
     """
     horses = horse.select(F.col("id").alias("horse_id"), F.col("name").alias("horse_name"))
     jockeys = jockey.select(F.col("id").alias("jockey_id"), F.col("name").alias("jockey_name"))
@@ -107,7 +108,7 @@ def before(rows: DataFrame, cutoff: str) -> DataFrame:
 def race_entries(rows: DataFrame, race_ids: DataFrame) -> DataFrame:
     """All runners of the listed races, odds as ``actual_odds``; unpriced runners stay."""
     return (
-        rows.join(race_ids.select("race_id").distinct(), "race_id", "left_semi")
+        keep_listed(rows, race_ids, "race_id")
         .select(*ENTRY_COLUMNS)
         .withColumnRenamed("odds", "actual_odds")
     )
@@ -115,5 +116,5 @@ def race_entries(rows: DataFrame, race_ids: DataFrame) -> DataFrame:
 
 def race_dates(rows: DataFrame, race_ids: DataFrame) -> DataFrame:
     """One date per listed race, for all of them in one pass."""
-    listed = rows.join(race_ids.select("race_id").distinct(), "race_id", "left_semi")
+    listed = keep_listed(rows.select("race_id", "date_text"), race_ids, "race_id")
     return listed.groupBy("race_id").agg(F.min("date_text").alias("date_text"))
