@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 MAX_PARTS = 1024
 
-# Key lists up to this length are broadcast to filter by.
-MAX_LISTED_KEYS = 500_000
+# Keys of up to this many rows are broadcast as a list to filter by.
+MAX_LISTED_ROWS = 500_000
 
 _ROW_ID = ("race_id", "horse_number")
 
@@ -28,14 +28,18 @@ def join_by_key(
     keys: list[str],
     how: str = "left",
     counted: DataFrame | None = None,
+    total: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``rows`` joined to ``table``, which has one row per key.
 
     Rows of a hot key get a part number from their own values, and the key's row of ``table``
     is copied to each part; all other keys have one part. Rows without a key match nothing and
-    are spread freely. ``counted`` may name cheaper rows with the same key frequencies.
+    are spread freely. ``counted`` may name cheaper rows with the same key frequencies, and
+    ``total`` their known number: too few rows for any hot key are joined plainly.
     """
+    if total is not None and total <= hot_rows:
+        return rows.join(table, keys, how)
     counts = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     parts = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_PARTS)).cast("int")
     hot = F.broadcast(
@@ -51,25 +55,23 @@ def join_by_key(
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
-def _few(rows: DataFrame, key: str) -> bool:
-    return rows.agg(F.count_distinct(key)).first()[0] <= MAX_LISTED_KEYS
-
-
 def keep_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``listed``: by a broadcast list if it is short, else by a join."""
     keys = listed.select(key).distinct()
-    if _few(listed, key):
+    if listed.count() <= MAX_LISTED_ROWS:
         return rows.join(F.broadcast(keys), key, "left_semi")
     return join_by_key(rows, keys, [key], "left_semi")
 
 
-def restrict_to(history: DataFrame, rows: DataFrame, key: str = "horse_name") -> DataFrame:
-    """Only the history of keys that occur in ``rows``, if they are few.
+def restrict_to(
+    history: DataFrame, rows: DataFrame, key: str = "horse_name", total: int | None = None
+) -> DataFrame:
+    """Only the history of keys that occur in ``rows``, if there are few rows.
 
     Pricing a few races needs the features of their runners, not of every horse: a broadcast
-    list of them keeps all other history out of the shuffles. With many keys there is little
-    to gain, and the history is returned whole.
+    list of them keeps all other history out of the shuffles. With many rows there is little
+    to gain, and the history is returned whole. ``total`` is their number, if known.
     """
-    if not _few(rows, key):
+    if (rows.count() if total is None else total) > MAX_LISTED_ROWS:
         return history
     return history.join(F.broadcast(rows.select(key).distinct()), key, "left_semi")

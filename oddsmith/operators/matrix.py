@@ -19,17 +19,22 @@ ENTRY_SIDE = (
 
 
 def attach_features(
-    rows: DataFrame, jockey: DataFrame, horse: DataFrame, combo: DataFrame | None = None
+    rows: DataFrame,
+    jockey: DataFrame,
+    horse: DataFrame,
+    combo: DataFrame | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """``rows`` left-joined to jockey, horse and (horse, jockey) features.
 
     No feature table is forced to broadcast, for they grow with the data; a hot jockey or
-    horse among ``rows`` is spread over several tasks.
+    horse among ``rows`` is spread over several tasks. ``total`` is their number, if known.
     """
-    joined = join_by_key(rows, jockey, ["jockey_name"])
-    joined = join_by_key(joined, horse, ["horse_name"], counted=rows)
+    joined = join_by_key(rows, jockey, ["jockey_name"], counted=rows, total=total)
+    joined = join_by_key(joined, horse, ["horse_name"], counted=rows, total=total)
     if combo is not None:
-        joined = join_by_key(joined, combo, ["horse_name", "jockey_name"], counted=rows)
+        keys = ["horse_name", "jockey_name"]
+        joined = join_by_key(joined, combo, keys, counted=rows, total=total)
     return joined
 
 

@@ -54,6 +54,16 @@ def fit(train: DataFrame, recipe: Recipe) -> PipelineModel:
     """
     shared_dir(train.sparkSession)  # lets the learner cut its lineage by checkpoints
     plain = [f for f in recipe.features if f != "sex_encoded"]
+    needed = [*plain, *(["sex"] if recipe.encodes_sex else []), target_of(recipe).alias(_LABEL)]
+    # means, labels and every tree read the matrix again, so it is kept while fitting
+    kept = train.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(kept, recipe, plain)
+    finally:
+        kept.unpersist()
+
+
+def _fit(train: DataFrame, recipe: Recipe, plain: list[str]) -> PipelineModel:
     means = column_means(train, plain).first().asDict()
     stages = [_fill(plain, means, recipe.zero_fill_scores)]
     inputs = [f"{f}__x" for f in plain]
@@ -77,13 +87,7 @@ def fit(train: DataFrame, recipe: Recipe) -> PipelineModel:
     )
     stages += [VectorAssembler(inputCols=inputs, outputCol=_VECTOR), learner]
     means_row = train.sparkSession.createDataFrame([means])
-    filled = impute(train, means_row, plain)
-    # every tree reads the matrix again; without executors' copies it is recomputed from source
-    ready = filled.withColumn(_LABEL, target_of(recipe)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=stages).fit(ready)
-    finally:
-        ready.unpersist()
+    return Pipeline(stages=stages).fit(impute(train, means_row, plain))
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

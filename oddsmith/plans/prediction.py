@@ -36,9 +36,14 @@ def window_of(recipe: Recipe) -> HistoryWindow:
 # -- matrices -----------------------------------------------------------------------------------
 
 
-def snapshot_matrix(rows: DataFrame, features: Features, zero_handicap_diff: bool = False) -> DataFrame:
+def snapshot_matrix(
+    rows: DataFrame,
+    features: Features,
+    zero_handicap_diff: bool = False,
+    total: int | None = None,
+) -> DataFrame:
     """Rows with the features of one snapshot, as the final version trains and scores."""
-    attached = attach_features(rows, features.jockey, features.horse, features.combo)
+    attached = attach_features(rows, features.jockey, features.horse, features.combo, total)
     return derive(attached, zero_handicap_diff)
 
 
@@ -52,8 +57,9 @@ def asof_matrix(
 
     The history is first cut down to the horses and jockeys that occur in ``rows``.
     """
-    horses = restrict_to(history, rows, "horse_name")
-    jockeys = restrict_to(history, rows, "jockey_name")
+    total = rows.count()
+    horses = restrict_to(history, rows, "horse_name", total)
+    jockeys = restrict_to(history, rows, "jockey_name", total)
     result = asof.asof_horse_features(horses, rows, course, window)
     result = asof.asof_jockey_stats(jockeys, result, window)
     return derive(asof.asof_combo_stats(horses, result))
@@ -67,14 +73,15 @@ def entry_matrix(
     zero_handicap_diff: bool = False,
 ) -> DataFrame:
     """Rows with snapshot features, built only for the horses and jockeys that occur in them."""
-    horses = restrict_to(history, rows, "horse_name")
-    jockeys = restrict_to(history, rows, "jockey_name")
+    total = rows.count()
+    horses = restrict_to(history, rows, "horse_name", total)
+    jockeys = restrict_to(history, rows, "jockey_name", total)
     features = Features(
         jockey_stats(jockeys, window.jockey_since, window.min_rides),
         horse_features(horses, course, window),
         combo_stats(horses),
     )
-    return snapshot_matrix(rows, features, zero_handicap_diff)
+    return snapshot_matrix(rows, features, zero_handicap_diff, total)
 
 
 # -- final prediction ---------------------------------------------------------------------------

@@ -112,7 +112,7 @@ def test_long_and_short_lists_keep_the_same_rows(spark, monkeypatch):
     rows = hot_rows(spark)
     listed = rows.where("odds > 5").select("race_id")
     short = joins.keep_listed(rows, listed, "race_id")
-    monkeypatch.setattr(joins, "MAX_LISTED_KEYS", 10)
+    monkeypatch.setattr(joins, "MAX_LISTED_ROWS", 10)
     long = joins.keep_listed(rows, listed, "race_id")
     assert short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
     assert joins.restrict_to(rows, listed, "race_id") is rows
