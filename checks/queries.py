@@ -470,6 +470,14 @@ def model_roundtrip(t: Tables) -> DataFrame:
     return prediction.predict(kept, _past_matrix(t, t.entries), recipe)
 
 
+def final_prediction(t: Tables) -> DataFrame:
+    known = t.entries.where(F.col("weight").isNotNull())
+    weights = known.select(*KEY, "weight", "weight_change")
+    return prediction.final_prediction(
+        t.past, t.runners, t.entries, weights, _small("v16"), t.fresh("final"), weights_on=tuple(KEY)
+    )
+
+
 def _backtest_input(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Training rows and the five latest target races with point-in-time features, stored once."""
     latest = [F.col("date_text").desc(), F.col("race_id").cast("bigint").desc()]
@@ -520,7 +528,7 @@ _QUERIES = [
     k_grid, k_best, asof_horse_features, asof_jockey_stats, asof_combo_stats,
     scratch_renormalise, log_loss, value_return,
     model_odds, model_share, model_logshare, model_predictions, model_importance,
-    model_roundtrip, backtest_model, model_k_best, model_param_search,
+    model_roundtrip, final_prediction, backtest_model, model_k_best, model_param_search,
 ]
 
 

@@ -62,7 +62,8 @@ def price_races(
 ) -> DataFrame:
     """Odds from raw shares: power ``k``, normalise within the race, invert, floor.
 
-    For a score on the log scale pass ``F.exp(score)`` as ``share``.
+    For a score on the log scale pass ``F.exp(score)`` as ``share``. ``rows`` is read twice,
+    for the totals and for the result; store rows that are costly to compute.
     """
     calibrated = rows.withColumn("share", power_calibration(share, k))
     priced = normalise(calibrated, "share", payout, race, number)

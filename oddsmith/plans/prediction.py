@@ -25,8 +25,9 @@ from oddsmith.operators.matrix import attach_features, derive
 from oddsmith.operators.pricing import price_races, report
 from oddsmith.recipes import Recipe
 from oddsmith.settings import CALIBRATION_K, K_GRID, Course, HistoryWindow
+from oddsmith.sources.entries import overlay_weights
 from oddsmith.sources.results import before, race_entries, training_scope
-from oddsmith.sources.store import Features
+from oddsmith.sources.store import Features, load_or_build
 
 
 def window_of(recipe: Recipe) -> HistoryWindow:
@@ -111,6 +112,34 @@ def predict(model: PipelineModel, matrix: DataFrame, recipe: Recipe) -> DataFram
     return report(models.price(models.score(model, matrix), recipe))
 
 
+def final_prediction(
+    history: DataFrame,
+    all_rows: DataFrame,
+    entries: DataFrame,
+    weights: DataFrame,
+    recipe: Recipe,
+    folder: str,
+    course: Course = Course(),
+    weights_on: tuple[str, ...] = ("horse_name",),
+) -> DataFrame:
+    """Race-day job: stored features and model if present, announced weights, odds report.
+
+    ``entries`` comes from an entry list; without a ``race_id`` it is taken as one race.
+    Features and model are kept in ``folder``.
+    """
+    spark = history.sparkSession
+    features = load_or_build(history, f"{folder}/features", course, window_of(recipe))
+    model = models.load_or_fit(
+        spark,
+        f"{folder}/model-{recipe.name}",
+        lambda: train(history, all_rows, recipe, course, features),
+    )
+    weighed = overlay_weights(entries, weights, list(weights_on))
+    if "race_id" not in weighed.columns:
+        weighed = weighed.withColumn("race_id", F.lit(""))
+    return predict(model, snapshot_matrix(weighed, features), recipe)
+
+
 # -- rolling backtest ---------------------------------------------------------------------------
 
 

@@ -46,15 +46,22 @@ def read_tables_jdbc(
     )
 
 
-def runners(race: DataFrame, horse: DataFrame, jockey: DataFrame) -> DataFrame:
+def runners(
+    race: DataFrame, horse: DataFrame | None = None, jockey: DataFrame | None = None
+) -> DataFrame:
     """Every runner of every race with the names of horse and jockey, scratched ones included.
 
+    Without one of the name tables its name is left out, for jobs that need only the other.
+
     The joins carry no broadcast hint: the name tables grow with the data, so the engine
     decides by their size, and splits a hot horse or jockey where it sorts and merges two scans.
     """
-    horses = horse.select(F.col("id").alias("horse_id"), F.col("name").alias("horse_name"))
-    jockeys = jockey.select(F.col("id").alias("jockey_id"), F.col("name").alias("jockey_name"))
-    return race.join(horses, "horse_id").join(jockeys, "jockey_id").drop("horse_id", "jockey_id")
+    named = race
+    for table, who in ((horse, "horse"), (jockey, "jockey")):
+        if table is not None:
+            names = table.select(F.col("id").alias(f"{who}_id"), F.col("name").alias(f"{who}_name"))
+            named = named.join(names, f"{who}_id")
+    return named.drop("horse_id", "jockey_id")
 
 
 def by_race(rows: DataFrame) -> DataFrame:

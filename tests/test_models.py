@@ -8,6 +8,7 @@ from oddsmith.operators import models
 from oddsmith.plans import prediction
 from oddsmith.recipes import RECIPES, Recipe
 from oddsmith.settings import HistoryWindow
+from oddsmith.sources import entries as entry_source
 from oddsmith.sources import results
 from oddsmith.sources.store import build_features
 from oddsmith.workspace import shared_dir
@@ -136,6 +137,23 @@ def test_searches(history):
     assert none.isEmpty() and "score" in none.columns
 
 
+def test_final_prediction_from_an_entry_list(spark, history, tmp_path):
+    file = tmp_path / "entries.txt"
+    lines = [f"{n},H{n},牡4,55.0,J{n % 8}" for n in range(1, 11)]
+    file.write_text("\n".join([*lines, "11,newcomer,牝3,54.0,nobody"]), encoding="utf-8")
+    listed = entry_source.read_entries(spark, str(file))
+    weights = spark.createDataFrame([("H1", 500, 4)], "horse_name string, weight int, weight_change int")
+    folder = f"{shared_dir(spark)}/final-test-{spark.sparkContext.applicationId}"
+    recipe = RECIPES["v16"].smaller(3, 3)
+    first, second = (
+        prediction.final_prediction(history, history, listed, weights, recipe, folder).toPandas()
+        for _ in range(2)
+    )
+    assert first.equals(second)
+    assert len(first) == 11 and first.predicted_odds.is_monotonic_increasing
+    assert first.predicted_odds.min() >= 1.0
+
+
 def test_recipes():
     counts = [len(RECIPES[f"v{i}"].features) for i in range(1, 20)]
     assert counts == [4, 6, 9, 10, 12, 14, 16, 18, 18, 21, 20, 22, 22, 23, 23, 23, 23, 23, 23]

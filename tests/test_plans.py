@@ -16,7 +16,7 @@ def plan_of(df):
     return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("model", "backtest_model"))))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("model", "backtest_model", "final"))))
 def test_no_products_and_no_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "MapInPandas"):
