@@ -88,7 +88,7 @@ def shown(df: DataFrame) -> DataFrame:
 def _scored(t: Tables) -> DataFrame:
     """Every result row with a raw share from the horse's mean odds."""
     means = history.horse_alltime(t.results).select("horse_name", "horse_avg_odds")
-    rows = join_by_key(t.results, means, ["horse_name"], "inner")
+    rows = join_by_key(t.results, means, ["horse_name"], "inner", total=t.results.count())
     share = X.implied_share(F.col("horse_avg_odds"))
     return rows.withColumn("raw_share", share).withColumn("actual_odds", F.col("odds"))
 
@@ -179,7 +179,8 @@ def sex_encoding(t: Tables) -> DataFrame:
 
 def _after_previous(t: Tables) -> DataFrame:
     rows = t.results.select(*KEY, "horse_name", "jockey_name", "handicap")
-    return matrix.derive(join_by_key(rows, history.previous_start(t.past), ["horse_name"]))
+    previous = history.previous_start(t.past)
+    return matrix.derive(join_by_key(rows, previous, ["horse_name"], total=rows.count()))
 
 
 def handicap_diff(t: Tables) -> DataFrame:
@@ -405,7 +406,7 @@ def asof_combo_stats(t: Tables) -> DataFrame:
 
 def scratch_renormalise(t: Tables) -> DataFrame:
     means = history.horse_alltime(t.results).select("horse_name", "horse_avg_odds")
-    rows = join_by_key(t.runners, means, ["horse_name"], "inner")
+    rows = join_by_key(t.runners, means, ["horse_name"], "inner", total=t.runners.count())
     first = pricing.price_races(rows, X.implied_share(F.col("horse_avg_odds")), floor=None)
     first = first.withColumn("odds_before", F.col("predicted_odds"))
     after = pricing.renormalise_without(first, F.col("odds").isNull())
@@ -478,8 +479,8 @@ def final_prediction(t: Tables) -> DataFrame:
     )
 
 
-def _backtest_input(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Training rows and the five latest target races with point-in-time features, stored once."""
+def _backtest_input(t: Tables, point_in_time: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Training rows and the five latest target races with their features, stored once."""
     latest = [F.col("date_text").desc(), F.col("race_id").cast("bigint").desc()]
     wanted = course_races(t.runners).orderBy(*latest).limit(5)
     columns = [*KEY, "date_text", "odds", "actual_odds", "horse_name", "jockey_name", "is_target"]
@@ -487,7 +488,8 @@ def _backtest_input(t: Tables) -> tuple[DataFrame, DataFrame]:
     entries = result_source.race_entries(t.runners, wanted).withColumns(
         {"odds": F.col("actual_odds"), "is_target": F.lit(True)}
     )
-    rows = prediction.asof_matrix(t.results, train.unionByName(entries), window=WINDOW)
+    build = prediction.asof_matrix if point_in_time else prediction.entry_matrix
+    rows = build(t.results, train.unionByName(entries), window=WINDOW)
     wide = rows.select(*columns, *[f for f in FINAL_FEATURES if f not in columns])
     kept = stored(wide, t.fresh("backtest"))
     return kept.where(~F.col("is_target")), kept.where("is_target")
@@ -501,7 +503,7 @@ def backtest_model(t: Tables) -> DataFrame:
 
 def model_k_best(t: Tables) -> DataFrame:
     recipe = _small("v18")
-    train, entries = _backtest_input(t)
+    train, entries = _backtest_input(t, point_in_time=False)
     return prediction.search_k(prediction.backtest_scores(train, entries, recipe), recipe)
 
 

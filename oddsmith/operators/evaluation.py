@@ -22,9 +22,14 @@ def log_rmse(
     return rows.groupBy(*keys).agg(F.sqrt(F.avg(error * error)).alias("log_rmse"))
 
 
-def predicted_and_actual(predicted: DataFrame, actual: DataFrame) -> DataFrame:
-    """Predicted next to actual odds, joined on race and number, sorted by the actual ones."""
-    joined = predicted.join(actual, ["race_id", "horse_number"])
+def predicted_and_actual(
+    predicted: DataFrame, actual: DataFrame, on: Sequence[str] = ("race_id", "horse_number")
+) -> DataFrame:
+    """Predicted next to actual odds, sorted by the actual ones within each race.
+
+    For a single race known by its runner numbers only, pass ``on=["horse_number"]``.
+    """
+    joined = predicted.join(actual, list(on))
     return joined.orderBy("race_id", "actual_odds", "horse_number")
 
 

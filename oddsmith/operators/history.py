@@ -43,9 +43,14 @@ def start_grade() -> Column:
     return race_grade(F.col("race_name"), F.col("race_class"))
 
 
+def graded(history: DataFrame) -> DataFrame:
+    """Results with each start's race grade, so that the texts are searched once."""
+    return history.withColumn("_grade", start_grade())
+
+
 def top_performance() -> Column:
-    """1 for a first, second or third place in a top-grade race, else 0."""
-    placed = (start_grade() == 4) & (F.col("finish_position") <= 3)
+    """1 for a first, second or third place in a top-grade race, else 0; for graded rows."""
+    placed = (F.col("_grade") == 4) & (F.col("finish_position") <= 3)
     return F.when(placed, 1).otherwise(0)
 
 
@@ -80,7 +85,7 @@ def _alltime_means() -> list[Column]:
 
 def _class_flags() -> list[Column]:
     return [
-        F.max(start_grade()).alias("horse_max_grade"),
+        F.max("_grade").alias("horse_max_grade"),
         F.max(top_performance()).alias("horse_is_g1_performer"),
     ]
 
@@ -105,7 +110,7 @@ def horse_alltime(history: DataFrame) -> DataFrame:
 
 
 def horse_class(history: DataFrame) -> DataFrame:
-    return history.groupBy("horse_name").agg(*_class_flags())
+    return graded(history).groupBy("horse_name").agg(*_class_flags())
 
 
 def combo_stats(history: DataFrame) -> DataFrame:
@@ -188,7 +193,7 @@ def horse_features(
     that partitioning; the result equals left-joining the single features one by one.
     """
     recent = recent_turf(course, window)
-    means = history.groupBy("horse_name").agg(
+    means = graded(history).groupBy("horse_name").agg(
         *_alltime_means(),
         *_class_flags(),
         F.avg(F.when(recent, F.col("final_600m_time"))).alias("horse_recent_avg_final_600m"),

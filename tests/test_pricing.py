@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmith.operators import evaluation, pricing
+from oddsmith.schema import ACTUAL_ODDS
 
 FIELD = "race_id string, horse_number int, share double"
 
@@ -80,6 +81,17 @@ def test_log_rmse(spark):
     assert summary.mean_log_rmse == pytest.approx(0.5) and summary.races == 2
 
 
+def test_predicted_next_to_actual(spark):
+    predicted = spark.createDataFrame(
+        [("1", 1, 3.0), ("1", 2, 2.0)], "race_id string, horse_number int, predicted_odds double"
+    )
+    actual = spark.createDataFrame([(1, 2.5), (2, 9.9)], ACTUAL_ODDS)
+    table = evaluation.predicted_and_actual(predicted, actual, ["horse_number"]).collect()
+    assert [(r.horse_number, r.predicted_odds, r.actual_odds) for r in table] == [
+        (1, 3.0, 2.5), (2, 2.0, 9.9),
+    ]
+
+
 def test_calibration_grid_against_brute_force(spark):
     rows = random_races(spark, seed=5, giant=300)
     races = rows.toPandas().groupby("race_id")
