@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import exact_dedup, mixing, sharding, token_counts
+from oddsmith.llm import bpe, exact_dedup, mixing, sharding, token_counts
 from oddsmith.llm._shared import table
 
 
@@ -26,6 +26,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_report(table(spark, sf_dir, "documents"), path)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_shard": op2_shard,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -8,82 +8,38 @@ new neighbours are pushed. The count is the initial symbols minus the merges; no
 from __future__ import annotations
 
 import json
-from heapq import heapify, heappop, heappush
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from oddsmith.llm._merges import SPACE, byte_symbols, merge, merge_table
 from oddsmith.llm._words import texts_of
 
 LIMIT = 512
-# Counts of pieces seen by a task; forgotten when so many are held.
+# Counts of chunks seen by a task; forgotten when so many are held.
 REMEMBERED = 1 << 19
 LONGEST_REMEMBERED = 64
-# Fixed value: the split rule of byte-level tokenizers.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies.
-
-    Printable Latin-1 characters stand for themselves; the other bytes, in order, take the
-    characters from 256 on.
-    """
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
+# Fixed value: the split rule of byte-level tokenizers, with Unicode white space.
+PIECES = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^SPACE\p{L}\p{N}]+|[SPACE]+(?![^SPACE])|[SPACE]+"
+).replace("SPACE", SPACE)
+# The same cuts at white space alone: no piece crosses such a chunk's borders.
+CHUNKS = " ?[^SPACE]+|[SPACE]+(?![^SPACE])|[SPACE]+".replace("SPACE", SPACE)
 
 
 class MergeCounter:
-    """Counts the tokens of one piece under a merge table."""
+    """Counts the tokens of one piece under a vocabulary file's merges."""
 
     def __init__(self, vocabulary: str):
         described = json.loads(vocabulary)
-        model = described["model"]
-        ids = model["vocab"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {
-            (ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)
-        }
+        ids = described["model"]["vocab"]
+        self.merges = merge_table(described["model"])
         self.first = [ids[symbol] for symbol in byte_symbols()]
         self.special = [t["content"] for t in described["added_tokens"]]
 
     def count(self, piece: bytes) -> int:
-        symbols = [self.first[b] for b in piece]
-        n = len(symbols)
-        if n < 2:
-            return n
-        merges = self.merges
-        heap = []
-        for i in range(n - 1):
-            found = merges.get((symbols[i], symbols[i + 1]))
-            if found is not None:
-                heap.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        if not heap:
-            return n
-        heapify(heap)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        count = n
-        while heap:
-            _, i, left, right, merged = heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # one of the two has been merged since
-            symbols[i], symbols[j] = merged, -1
-            k = after[i] = after[j]
-            count -= 1
-            if k < n:
-                before[k] = i
-                found = merges.get((merged, symbols[k]))
-                if found is not None:
-                    heappush(heap, (found[0], i, merged, symbols[k], found[1]))
-            h = before[i]
-            if h >= 0:
-                found = merges.get((symbols[h], merged))
-                if found is not None:
-                    heappush(heap, (found[0], h, symbols[h], merged, found[1]))
-        return count
+        return len(piece) - merge([self.first[b] for b in piece], self.merges)
 
 
 def text_counter(vocabulary: str):
@@ -92,6 +48,7 @@ def text_counter(vocabulary: str):
 
     counter = MergeCounter(vocabulary)
     pieces = regex.compile(PIECES).findall
+    chunks = re.compile(CHUNKS).findall
     special = regex.compile("|".join(regex.escape(s) for s in counter.special) or r"(?!)")
     known: dict[str, int] = {}
 
@@ -99,20 +56,20 @@ def text_counter(vocabulary: str):
         nonlocal known
         total = 0
         missing = []
-        for piece in pieces(text):
-            n = known.get(piece)
+        for chunk in chunks(text):
+            n = known.get(chunk)
             if n is None:
-                missing.append(piece)
+                missing.append(chunk)
             else:
                 total += n
-        for piece in missing:
-            n = known.get(piece)
+        for chunk in missing:
+            n = known.get(chunk)
             if n is None:
-                n = counter.count(piece.encode("utf-8"))
-                if len(piece) <= LONGEST_REMEMBERED:
+                n = sum(counter.count(piece.encode("utf-8")) for piece in pieces(chunk))
+                if len(chunk) <= LONGEST_REMEMBERED:
                     if len(known) >= REMEMBERED:
                         known = {}
-                    known[piece] = n
+                    known[chunk] = n
             total += n
         return total
 
