@@ -57,6 +57,22 @@ def spread_key(*columns: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 4)
 
 
+def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of ``counted`` with the largest ``n``, at most ``most`` of them.
+
+    Counts fall into 16 classes a doubling, so 1,024 at most; whole classes are taken.
+    """
+    level = F.floor(F.log2(n) * 16)
+    classes = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, held = None, 0
+    for row in sorted(classes, key=lambda r: -r["level"]):
+        held += row["rows"]
+        if held > most:
+            break
+        least = row["level"]
+    return counted.limit(0) if least is None else counted.filter(level >= least)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """``rows`` left-joined to the landed table ``groups``, one row per ``key``.
 

@@ -115,7 +115,11 @@ class WordReader:
         start = np.flatnonzero(begins)
         end = np.flatnonzero(ends) + 1
         row = (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
-        hashes = np.empty(len(start), np.uint64)
+        return Words(first, last, data, offsets, row, start, end, self.hashes(data, start, end))
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the spans ``start`` to ``end``, which are in order and do not overlap."""
+        found = np.empty(len(start), np.uint64)
         at = 0
         with np.errstate(over="ignore"):
             while at < len(start):
@@ -130,6 +134,6 @@ class WordReader:
                 sums = np.zeros(high - low + 1, np.uint64)
                 np.cumsum(values, out=sums[1:])
                 s = start[at:stop] - low
-                hashes[at:stop] = (sums[end[at:stop] - low] - sums[s]) * self._inverse[s]
+                found[at:stop] = (sums[end[at:stop] - low] - sums[s]) * self._inverse[s]
                 at = stop
-        return Words(first, last, data, offsets, row, start, end, mixed(hashes))
+        return mixed(found)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from oddsmith.llm._merges import SPACE, byte_symbols, merge, merge_table
-from oddsmith.llm._shared import landed
+from oddsmith.llm._shared import landed, most_frequent
 from oddsmith.llm._words import texts_of
 
 # Words whose ids are broadcast, at most; the others are joined.
@@ -133,20 +133,6 @@ def word_table(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     return distinct.mapInArrow(encoded, "word string, n long, ids binary")
 
 
-def _frequent(words: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, ``most`` of them at most: whole classes of like counts."""
-    classes = words.groupBy(F.floor(F.log2("n") * 16).alias("class")).agg(F.count("*").alias("words"))
-    least, held = None, 0
-    for row in sorted(classes.collect(), key=lambda r: -r["class"]):  # 1,024 classes at most
-        held += row["words"]
-        if held > most:
-            break
-        least = row["class"]
-    if least is None:
-        return words.limit(0)
-    return words.filter(F.floor(F.log2("n") * 16) >= least)
-
-
 def encode(
     docs: DataFrame,
     vocabulary: str,
@@ -163,7 +149,7 @@ def encode(
     spark = docs.sparkSession
     described = spark.sparkContext.broadcast(_read(vocabulary))
     table = landed(word_table(docs, vocabulary, text), "bpe-words")
-    top = _frequent(table, frequent).select("word", "ids").toArrow()
+    top = most_frequent(table, "n", frequent).select("word", "ids").toArrow()
     known = spark.sparkContext.broadcast((top.column("word"), top.column("ids")))
     hole = np.array([0xFFFFFFFF], "<u4").tobytes()
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from oddsmith.llm import bpe, exact_dedup, maxent, mixing, quality, sharding, token_counts
 from oddsmith.llm._shared import table
 
 
@@ -22,10 +22,18 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_report(table(spark, sf_dir, "documents"), path)
@@ -39,7 +47,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_shard": op2_shard,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_maxent": op6_maxent,
     "op7_bpe": op7_bpe,
     "op10_token_counts": op10_token_counts,
 }
