@@ -14,7 +14,7 @@ from oddsmith.workspace import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARES = 512
 ROWS_PER_BUCKET = 50_000
-LEAST_BUCKETS = 16
+LEAST_BUCKETS = 64
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
