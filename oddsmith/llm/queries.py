@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import bpe, exact_dedup, maxent, mixing, quality, sharding, token_counts
+from oddsmith.llm import bpe, disclosure, exact_dedup, maxent, mixing, quality, sharding, token_counts
 from oddsmith.llm._shared import table
 
 
@@ -30,6 +30,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
 def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_shard": op2_shard,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_disclosure": op5_disclosure,
     "op6_maxent": op6_maxent,
     "op7_bpe": op7_bpe,
     "op10_token_counts": op10_token_counts,
