@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import bpe, disclosure, exact_dedup, maxent, mixing, quality, sharding, token_counts
+from oddsmith.llm import bpe, disclosure, exact_dedup, maxent, mixing, near_dups, quality, sharding, token_counts
 from oddsmith.llm._shared import table
 
 
@@ -43,6 +43,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_report(table(spark, sf_dir, "documents"), path)
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_disclosure": op5_disclosure,
     "op6_maxent": op6_maxent,
     "op7_bpe": op7_bpe,
+    "op8_near_dups": op8_near_dups,
     "op10_token_counts": op10_token_counts,
 }
 
