@@ -67,25 +67,30 @@ class DigestIndex:
             new.select(*columns).write.insertInto(self.name)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, text: str = "text", doc_id: str = "doc_id"):
+def deduplicate(
+    docs: DataFrame, index: DigestIndex, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
     """Rows of ``docs`` that stay, with their columns; their digests join the index.
 
     A text that the index holds already goes; of equal new texts the row with the largest id stays
-    (a null id comes last, and of rows alike in text and id one stays). Empty tables leave the
+    (a null id comes last, and of rows alike in text and id one stays). An empty table leaves the
     index as it is.
     """
     rows = landed(digests(docs, text, doc_id), "dedup-digests")
     new = landed(index.unseen(one_per_digest(rows)), "dedup-new")
     index.append(new)
+    winner = (F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    winners = new.select(F.col("text_sha256").alias("sha"), "keep_id")
+    gone = rows.join(winners, winner, "left_anti").distinct()
+    gone = landed(gone.toDF("__gone_id", "__gone_sha"), "dedup-gone")
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    keyed = docs.withColumn("__sha", sha).withColumn("__id", F.col(doc_id).cast("long"))
-    winners = new.select(F.col("text_sha256").alias("__kept_sha"), F.col("keep_id").alias("__kept_id"))
-    same = (F.col("__sha") == F.col("__kept_sha")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
-    stay = keyed.join(winners, same, "left_semi")
-    alone = new.filter("group_size = 1").count() == new.count()
-    if not alone:  # rows alike in text and id: one of them
-        stay = stay.dropDuplicates(["__sha", "__id"])
-    return stay.select(*docs.columns)
+    same = (sha == F.col("__gone_sha")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__gone_id"))
+    stay = docs.join(gone, same, "left_anti")
+    repeated = rows.groupBy("text_sha256", "doc_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        key = {"__sha": sha, "__id": F.col(doc_id).cast("long")}
+        stay = stay.withColumns(key).dropDuplicates(list(key)).drop(*key)
+    return stay
 
 
 def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import bpe, disclosure, exact_dedup, maxent, mixing, near_dups, quality, sharding, token_counts
+from oddsmith.llm import (
+    bpe,
+    disclosure,
+    embedding_dups,
+    exact_dedup,
+    maxent,
+    mixing,
+    near_dups,
+    quality,
+    sharding,
+    token_counts,
+)
 from oddsmith.llm._shared import table
 
 
@@ -48,6 +59,10 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
@@ -62,6 +77,7 @@ QUERIES = {
     "op6_maxent": op6_maxent,
     "op7_bpe": op7_bpe,
     "op8_near_dups": op8_near_dups,
+    "op9_embedding_dups": op9_embedding_dups,
     "op10_token_counts": op10_token_counts,
 }
 
