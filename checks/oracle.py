@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.race_tables import CUTOFF, PLACES, WINDOW
+from checks.race_tables import CUTOFF, PLACES, SEARCHED, WINDOW
 from oddsmith.recipes import FINAL_FEATURES
 from oddsmith.settings import K_GRID
 
@@ -315,6 +315,15 @@ def _imputed(value) -> str:
     return "race_id, " + _filled(FINAL_FEATURES, value)
 
 
+def _checked(share_sum: str) -> str:
+    """What SQL can state of a model's prices."""
+    return _done(
+        TARGETS,
+        f"SELECT race_id, count(*) AS runners, cast({share_sum} AS double) AS share_sum,"
+        " true AS above_floor, true AS ordered_by_score FROM entries GROUP BY race_id",
+    )
+
+
 ORACLE = {
     "results_scan": _done("", """SELECT race_id, horse_number, horse_name, jockey_name,
       finish_position, popularity, """ + six("odds") + """, date_text, venue_code, handicap, distance,
@@ -510,9 +519,8 @@ after AS (SELECT *, raw / sum(raw) OVER (PARTITION BY race_id) * 8e-1 AS share F
     "log_loss": _done(
         SCORED + _priced("1.2e0"),
         "SELECT " + six(
-            "sum(CASE WHEN finish_position = 1 THEN -ln(share / 8e-1) ELSE 0 END)"
-            " / count(DISTINCT race_id)", "log_loss",
-        ) + ", count(DISTINCT race_id) AS races FROM priced",
+            "sum(-ln(share / 8e-1)) / count(DISTINCT race_id)", "log_loss",
+        ) + ", count(DISTINCT race_id) AS races FROM priced WHERE finish_position = 1",
     ),
     "value_return": _done(
         SCORED + _priced("1.2e0"),
@@ -521,4 +529,40 @@ after AS (SELECT *, raw / sum(raw) OVER (PARTITION BY race_id) * 8e-1 AS share F
         + six("avg(CASE WHEN finish_position = 1 THEN odds ELSE 0e0 END)", "return_rate")
         + " FROM priced WHERE share / 8e-1 * odds > 1 GROUP BY substr(date_text, 1, 4)",
     ),
+    "checked_odds": _checked("NULL"),
+    "checked_share": _checked("8e-1"),
+    "checked_logshare": _checked("8e-1"),
+    "checked_predictions": _checked("8e-1"),
+    "checked_importance": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FINAL_FEATURES)
+    + "]) AS feature, 1e0 AS total",
+    "checked_roundtrip": _done(
+        TARGETS, "SELECT race_id, horse_number, true AS same FROM entries"
+    ),
+    "feature_vector": _done(
+        _PAST + "train AS (" + _attached(f"(SELECT * FROM scope WHERE date_text < '{CUTOFF}')")
+        + f"),\nmean AS (SELECT {_MEANS} FROM train),\nrows AS ({_attached('entries')}),\n",
+        "SELECT race_id, " + ", ".join(
+            six(f"coalesce(cast(rows.{f} AS double), "
+                + (f"mean.{f}" if f in _HISTORY_SIDE else "0e0") + ")", f)
+            for f in FINAL_FEATURES
+        ) + " FROM rows, mean",
+    ),
+    "checked_backtest": _done(
+        TARGETS, "SELECT race_id, substr(date_text, 1, 4) AS year, true AS scored FROM targets"
+    ),
+    "checked_param_search": _done(
+        TARGETS,
+        "SELECT parameters, true AS scored FROM (SELECT unnest([" + ", ".join(
+            "'" + ", ".join(f"{k}={v}" for k, v in sorted(c.items())) + "'" for c in SEARCHED
+        ) + "]) AS parameters) WHERE EXISTS (SELECT 1 FROM targets)",
+    ),
 }
+
+ORACLE["stored_windows"] = ORACLE["jockey_stats_min_rides"]
+ORACLE["evaluated_baseline"] = _done(
+    SCORED + _priced("1.2e0"),
+    "SELECT race_id, "
+    + six("sqrt(avg((ln(odds) - ln(predicted)) ** 2))", "log_rmse")
+    + " FROM priced GROUP BY race_id",
+)
+ORACLE["listed_backtest"] = ORACLE["backtest_mean"]

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.race_tables import CUTOFF, PLACES, WINDOW, course_races, evaluation_races, landed
+from checks.race_tables import CUTOFF, PLACES, SEARCHED, WINDOW, evaluation_races, landed
 from oddsmith.functions import expressions as X
 from oddsmith.operators import asof, evaluation, history, matrix, models, pricing
 from oddsmith.operators.joins import join_by_key
 from oddsmith.plans import prediction
-from oddsmith.recipes import FINAL_FEATURES, RECIPES
+from oddsmith.recipes import FINAL_FEATURES, RECIPES, Recipe
 from oddsmith.settings import Course
 from oddsmith.sources import entries as entry_source
 from oddsmith.sources import results as result_source
 from oddsmith.sources import store
-from oddsmith.workspace import stored
+from oddsmith.workspace import is_complete, stored
 
 KEY = ["race_id", "horse_number"]
 HORSE = [
@@ -31,8 +32,9 @@ HORSE = [
 ]
 JOCKEY = ["jockey_avg_odds", "jockey_win_rate", "jockey_ride_count"]
 
-# Trial-run model size; the recipes hold the full one.
-TREES, DEPTH = 5, 4
+# How often the registered backtests fit anew.
+REFIT = "quarter"
+_SECOND_WINDOW = replace(WINDOW, jockey_since=WINDOW.recent_since, min_rides=150)
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,13 @@ class Tables:
         """A path of its own for each call, so that no later query overwrites an earlier result."""
         return f"{self.folder}/{name}-{uuid.uuid4().hex}"
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several queries show: built on first use, kept for the application."""
+        path = f"{self.folder}/{name}"
+        if not is_complete(self.spark, path):
+            stored(build(), path)
+        return self.spark.read.parquet(path)
+
     @property
     def past(self) -> DataFrame:
         return result_source.before(self.results, CUTOFF)
@@ -192,8 +201,8 @@ def jockey_changed(t: Tables) -> DataFrame:
 
 
 def _announced(t: Tables) -> DataFrame:
-    known = t.runners.where(F.col("weight").isNotNull())
-    return known.select(*KEY, "weight", "weight_change")
+    known = t.runners.where(F.col("weight").isNotNull()).select(*KEY, "weight", "weight_change")
+    return known.unionByName(known)  # announced twice
 
 
 def weight_overlay(t: Tables) -> DataFrame:
@@ -424,17 +433,18 @@ def value_return(t: Tables) -> DataFrame:
 # -- models -------------------------------------------------------------------------------------
 
 
-def _small(version: str):
-    return RECIPES[version].smaller(TREES, DEPTH)
-
-
-def _fitted(t: Tables, version: str):
-    recipe = _small(version)
-    train = prediction.entry_matrix(
+def _train_rows(t: Tables, recipe: Recipe) -> DataFrame:
+    return prediction.entry_matrix(
         t.past, result_source.before(t.scope, CUTOFF), window=WINDOW,
         zero_handicap_diff=recipe.zero_train_handicap_diff,
     )
-    return recipe, models.fit(train, recipe)
+
+
+def _fitted(t: Tables, version: str):
+    """The recipe at its full size; fitted once for all queries that use it."""
+    recipe = RECIPES[version]
+    path = f"{t.folder}/model-{version}"
+    return recipe, models.load_or_fit(t.spark, path, lambda: models.fit(_train_rows(t, recipe), recipe))
 
 
 def _predicted(t: Tables, version: str) -> DataFrame:
@@ -458,62 +468,152 @@ def model_predictions(t: Tables) -> DataFrame:
     return _predicted(t, "v19")
 
 
+def _checked(t: Tables, version: str) -> DataFrame:
+    """What holds for a race whatever the trees: runners, shares, floor, order of odds and scores."""
+    recipe, model = _fitted(t, version)
+    prices = prediction.priced(model, _past_matrix(t, t.entries), recipe)
+    sign = 1 if recipe.target == "odds" else -1
+    by_score = Window.partitionBy("race_id").orderBy(sign * F.col("score"), "predicted_odds")
+    before = F.lag("predicted_odds").over(by_score)
+    ordered = prices.withColumn("_falls", F.coalesce(F.col("predicted_odds") < before, F.lit(False)))
+    shares = F.sum("share") if recipe.normalise else F.lit(None).cast("double")
+    return ordered.groupBy("race_id").agg(
+        F.count("*").alias("runners"),
+        shares.alias("share_sum"),
+        F.bool_and(F.col("predicted_odds") >= (recipe.odds_floor or 0.0)).alias("above_floor"),
+        (~F.bool_or("_falls")).alias("ordered_by_score"),
+    )
+
+
+def checked_odds(t: Tables) -> DataFrame:
+    return _checked(t, "v3")
+
+
+def checked_share(t: Tables) -> DataFrame:
+    return _checked(t, "v8")
+
+
+def checked_logshare(t: Tables) -> DataFrame:
+    return _checked(t, "v10")
+
+
+def checked_predictions(t: Tables) -> DataFrame:
+    return _checked(t, "v19")
+
+
 def model_importance(t: Tables) -> DataFrame:
     recipe, model = _fitted(t, "v19")
     return models.importance(model, recipe, t.spark)
 
 
+def checked_importance(t: Tables) -> DataFrame:
+    """Every feature with the total of all importances."""
+    table = model_importance(t)
+    return table.select("feature", F.sum("importance").over(Window.partitionBy()).alias("total"))
+
+
 def model_roundtrip(t: Tables) -> DataFrame:
-    recipe = _small("v16")
+    recipe, model = _fitted(t, "v16")
     path = t.fresh("model")
-    models.load_or_fit(t.spark, path, lambda: _fitted(t, "v16")[1])
-    kept = models.load_or_fit(t.spark, path, lambda: _fitted(t, "v16")[1])
+    models.load_or_fit(t.spark, path, lambda: model)
+    kept = models.load_or_fit(t.spark, path, lambda: model)
     return prediction.predict(kept, _past_matrix(t, t.entries), recipe)
 
 
+def checked_roundtrip(t: Tables) -> DataFrame:
+    """Scores of a model just fitted against those of its saved copy, row by row."""
+    recipe = RECIPES["v3"]
+    model = models.fit(_train_rows(t, recipe), recipe)
+    path = t.fresh("model")
+    models.save_model(model, path)
+    kept = models.load_or_fit(t.spark, path, lambda: model)
+    rows = _past_matrix(t, t.entries)
+    fresh, saved = (models.score(m, rows).select(*KEY, "score") for m in (model, kept))
+    both = fresh.join(saved.withColumnRenamed("score", "saved_score"), KEY)
+    return both.select(*KEY, F.col("score").eqNullSafe(F.col("saved_score")).alias("same"))
+
+
+def feature_vector(t: Tables) -> DataFrame:
+    """The vector that the learner sees, unpacked."""
+    recipe, model = _fitted(t, "v19")
+    rows = _past_matrix(t, t.entries)
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    values = vector_to_array(models.VECTOR)
+    return rows.select("race_id", *[values[n].alias(f) for n, f in enumerate(recipe.features)])
+
+
 def final_prediction(t: Tables) -> DataFrame:
-    known = t.entries.where(F.col("weight").isNotNull())
-    weights = known.select(*KEY, "weight", "weight_change")
     return prediction.final_prediction(
-        t.past, t.runners, t.entries, weights, _small("v16"), t.fresh("final"), weights_on=tuple(KEY)
-    )
+        t.past, t.runners, t.entries, _announced(t), RECIPES["v16"], f"{t.folder}/final",
+        weights_on=KEY,
+    )
+
+
+def stored_windows(t: Tables) -> DataFrame:
+    """Jockey features of a second window, read back from a folder that holds the first's too."""
+    folder = t.fresh("windows")
+    store.load_or_build(t.results, folder, window=WINDOW)
+    store.load_or_build(t.results, folder, window=_SECOND_WINDOW)
+    return store.load_or_build(t.results, folder, window=_SECOND_WINDOW).jockey
+
+
+def evaluated_baseline(t: Tables) -> DataFrame:
+    """Known odds by race and number against prices from the horses' mean odds."""
+    actual = t.results.select(*KEY, F.col("odds").alias("actual_odds"))
+    return prediction.evaluated_prediction(_priced(t), actual, KEY)[1]
+
+
+def listed_backtest(t: Tables) -> DataFrame:
+    listed = entry_source.parse_race_list(t.targets.select(F.col("race_id").alias("value")))
+    return prediction.listed_backtest(t.results, t.runners, listed)[1]
 
 
 def _backtest_input(t: Tables, point_in_time: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Training rows and the five latest target races with their features, stored once."""
-    latest = [F.col("date_text").desc(), F.col("race_id").cast("bigint").desc()]
-    wanted = course_races(t.runners).orderBy(*latest).limit(5)
-    columns = [*KEY, "date_text", "odds", "actual_odds", "horse_name", "jockey_name", "is_target"]
-    train = t.scope.withColumns({"actual_odds": F.col("odds"), "is_target": F.lit(False)})
-    entries = result_source.race_entries(t.runners, wanted).withColumns(
-        {"odds": F.col("actual_odds"), "is_target": F.lit(True)}
-    )
-    build = prediction.asof_matrix if point_in_time else prediction.entry_matrix
-    rows = build(t.results, train.unionByName(entries), window=WINDOW)
-    wide = rows.select(*columns, *[f for f in FINAL_FEATURES if f not in columns])
-    kept = stored(wide, t.fresh("backtest"))
+    """Training rows and all races on or after the cutoff, with their features."""
+
+    def build() -> DataFrame:
+        train, entries = prediction.backtest_input(
+            t.results, t.runners, t.targets, window=WINDOW, point_in_time=point_in_time
+        )
+        return train.unionByName(entries)
+
+    kept = t.once(f"backtest-{'asof' if point_in_time else 'snapshot'}", build)
     return kept.where(~F.col("is_target")), kept.where("is_target")
 
 
 def backtest_model(t: Tables) -> DataFrame:
-    recipe = _small("v17")
-    train, entries = _backtest_input(t)
-    return prediction.model_backtest(prediction.backtest_scores(train, entries, recipe), recipe)
+    def build() -> DataFrame:
+        recipe = RECIPES["v17"]
+        scored = prediction.backtest_scores(*_backtest_input(t), recipe, REFIT)
+        return prediction.model_backtest(scored, recipe)
+
+    return t.once("backtest-errors", build)
+
+
+def checked_backtest(t: Tables) -> DataFrame:
+    """Races and years of the model's backtest, and whether each has an error."""
+    errors = backtest_model(t)
+    return errors.select("race_id", "year", (F.col("log_rmse") > 0).alias("scored"))
 
 
 def model_k_best(t: Tables) -> DataFrame:
-    recipe = _small("v18")
+    recipe = RECIPES["v18"]
     train, entries = _backtest_input(t, point_in_time=False)
-    return prediction.search_k(prediction.backtest_scores(train, entries, recipe), recipe)
+    return prediction.search_k(prediction.backtest_scores(train, entries, recipe, REFIT), recipe)
 
 
 def model_param_search(t: Tables) -> DataFrame:
-    train, entries = _backtest_input(t)
-    grid = [
-        {"learning_rate": 0.05, "feature_fraction": 0.8},
-        {"learning_rate": 0.01, "feature_fraction": 0.6},
-    ]
-    return prediction.search_parameters(train, entries, _small("v18"), grid)
+    def build() -> DataFrame:
+        train, entries = _backtest_input(t)
+        return prediction.search_parameters(train, entries, RECIPES["v18"], SEARCHED, "year")
+
+    return t.once("searched", build)
+
+
+def checked_param_search(t: Tables) -> DataFrame:
+    found = model_param_search(t)
+    return found.select("parameters", (F.col("mean_log_rmse") > 0).alias("scored"))
 
 
 _QUERIES = [
@@ -531,6 +631,9 @@ _QUERIES = [
     scratch_renormalise, log_loss, value_return,
     model_odds, model_share, model_logshare, model_predictions, model_importance,
     model_roundtrip, final_prediction, backtest_model, model_k_best, model_param_search,
+    checked_odds, checked_share, checked_logshare, checked_predictions, checked_importance,
+    checked_roundtrip, feature_vector, stored_windows, evaluated_baseline, listed_backtest,
+    checked_backtest, checked_param_search,
 ]
 
 

@@ -21,6 +21,9 @@ from oddsmith.workspace import fingerprint, is_complete, shared_dir, stored
 CUTOFF = "2000/11/01"
 WINDOW = HistoryWindow(jockey_since="1997/08/01", recent_since="1999/08/01")
 
+# Learner settings that the registered search tries, one change each.
+SEARCHED = [{"learning_rate": 0.03}, {"max_depth": 3}, {"leaves": 15}, {"feature_fraction": 0.6}]
+
 # Odds grow with the field, so fewer of their decimals are stable under another order of summing.
 PLACES = {"predicted_odds": 4, "odds_before": 4}
 

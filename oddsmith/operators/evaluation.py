@@ -88,10 +88,10 @@ def best_k(grid: DataFrame) -> DataFrame:
 def log_loss(
     priced: DataFrame, share: str = "share", payout: float = PAYOUT, race: str = "race_id"
 ) -> DataFrame:
-    """Mean over races of minus the log of the winner's probability."""
+    """Mean over races with a known winner of minus the log of the winner's probability."""
     winner = F.col("finish_position") == 1
-    loss = F.when(winner, -F.ln(F.col(share) / payout)).otherwise(F.lit(0.0))
-    per_race = priced.groupBy(race).agg(F.sum(loss).alias("_loss"))
+    loss = F.when(winner, -F.ln(F.col(share) / payout))
+    per_race = priced.groupBy(race).agg(F.sum(loss).alias("_loss")).where(F.col("_loss").isNotNull())
     return per_race.agg(
         F.avg("_loss").alias("log_loss"), F.count(F.lit(1)).alias("races")
     )

@@ -6,20 +6,53 @@ exchange. A side that was just grouped by the key does not, so hot keys are salt
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is spread over several parts. At most rows / HOT_ROWS keys can
-# be that frequent, which bounds the broadcast list of them.
+from oddsmith.workspace import shared_dir, stored
+
+# A key with more rows than this is spread over several parts of about this many.
 HOT_ROWS = 1_000_000
-MAX_PARTS = 1024
 
-# Keys of up to this many rows are broadcast as a list to filter by.
+# Lists of up to this many keys are broadcast.
 MAX_LISTED_ROWS = 500_000
 
 _ROW_ID = ("race_id", "horse_number")
+_SPREAD = 1 << 20
+
+
+def hot_keys(
+    rows: DataFrame, *keys: list[str], total: int | None = None, hot_rows: int | None = None
+) -> list[DataFrame | None]:
+    """For each list of key columns its frequent keys with their number of parts, or None.
+
+    All lists are counted in one pass over ``rows``, combined before the shuffle; the frequent keys
+    are stored, at most one in ``hot_rows`` rows for each list. ``total`` is the number of rows, if
+    known: too few rows for any hot key are not counted.
+    """
+    limit = hot_rows or HOT_ROWS
+    if total is not None and total <= limit:
+        return [None] * len(keys)
+    columns = list(dict.fromkeys(c for key in keys for c in key))
+    sets = rows.groupingSets([tuple(F.col(c) for c in key) for key in keys], *columns)
+    counted = sets.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / limit).cast("int")
+    frequent = counted.where(F.col("_n") > limit).select(*columns, "_set", parts.alias("_parts"))
+    spark = rows.sparkSession
+    kept = stored(frequent, f"{shared_dir(spark)}/hot-keys-{uuid.uuid4().hex}")
+    few = kept.count() <= MAX_LISTED_ROWS
+    lists = []
+    for key in keys:
+        number = sum(1 << n for n, c in enumerate(reversed(columns)) if c not in key)
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+        # many rows without a key are to be spread as well, though they match nothing
+        present = kept.where(F.col("_set") == number)
+        mine = present.where(known).select(*key, "_parts")
+        lists.append(None if present.isEmpty() else F.broadcast(mine) if few else mine)
+    return lists
 
 
 def join_by_key(
@@ -27,31 +60,28 @@ def join_by_key(
     table: DataFrame,
     keys: list[str],
     how: str = "left",
-    counted: DataFrame | None = None,
     total: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
+    hot: list[DataFrame | None] | None = None,
 ) -> DataFrame:
     """``rows`` joined to ``table``, which has one row per key.
 
     Rows of a hot key get a part number from their own values, and the key's row of ``table``
-    is copied to each part; all other keys have one part. Rows without a key match nothing and
-    are spread freely. ``counted`` may name cheaper rows with the same key frequencies, and
-    ``total`` their known number: too few rows for any hot key are joined plainly.
+    is copied to each part; all other keys have one part, and without hot keys the join is a plain
+    one. Rows without a key match nothing and are spread freely. ``hot`` may hold the one entry of
+    ``hot_keys`` for these keys, where a caller has counted several at once.
     """
-    if total is not None and total <= hot_rows:
+    (frequent,) = hot_keys(rows, keys, total=total, hot_rows=hot_rows) if hot is None else hot
+    if frequent is None:
         return rows.join(table, keys, how)
-    counts = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_PARTS)).cast("int")
-    hot = F.broadcast(
-        counts.where(F.col("_n") > hot_rows).select(*keys, parts.alias("_parts"))
-    )
-    row_id = [c for c in _ROW_ID if c in rows.columns] or rows.columns
+    whole = all(c in rows.columns for c in _ROW_ID)
+    row_id = _ROW_ID if whole else rows.columns
     has_key = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
-    choices = F.when(has_key, F.coalesce("_parts", F.lit(1))).otherwise(MAX_PARTS)
+    choices = F.when(has_key, F.coalesce("_parts", F.lit(1))).otherwise(_SPREAD)
     part = F.pmod(F.xxhash64(*row_id), choices).cast("int")
     copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    left = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
-    right = table.join(hot, keys, "left").withColumn("_part", F.explode(copies)).drop("_parts")
+    left = rows.join(frequent, keys, "left").withColumn("_part", part).drop("_parts")
+    right = table.join(frequent, keys, "left").withColumn("_part", F.explode(copies)).drop("_parts")
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 

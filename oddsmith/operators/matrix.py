@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.functions.expressions import handicap_diff, jockey_changed
-from oddsmith.operators.joins import join_by_key
+from oddsmith.operators.joins import hot_keys, join_by_key
 
-# Columns that come with the entry itself; imputation at scoring time leaves them alone.
+# Columns that come with the entry itself; imputation at scoring time leaves them alone.
 ENTRY_SIDE = (
     "horse_number", "handicap", "age", "sex_encoded", "weight", "weight_change",
     "handicap_diff", "jockey_changed",
@@ -30,11 +30,13 @@ def attach_features(
     No feature table is forced to broadcast, for they grow with the data; a hot jockey or
     horse among ``rows`` is spread over several tasks. ``total`` is their number, if known.
     """
-    joined = join_by_key(rows, jockey, ["jockey_name"], counted=rows, total=total)
-    joined = join_by_key(joined, horse, ["horse_name"], counted=rows, total=total)
+    tables = [(jockey, ["jockey_name"]), (horse, ["horse_name"])]
     if combo is not None:
-        keys = ["horse_name", "jockey_name"]
-        joined = join_by_key(joined, combo, keys, counted=rows, total=total)
+        tables.append((combo, ["horse_name", "jockey_name"]))
+    frequent = hot_keys(rows, *[keys for _, keys in tables], total=total)
+    joined = rows
+    for (table, keys), hot in zip(tables, frequent, strict=True):
+        joined = join_by_key(joined, table, keys, hot=[hot])
     return joined
 
 

@@ -23,8 +23,9 @@ from oddsmith.recipes import Recipe
 from oddsmith.workspace import is_complete, shared_dir
 
 _LABEL = "_target"
-_VECTOR = "_features"
+VECTOR = "_features"
 _SCORE = "_score"
+_ROWS_PER_TASK = 20_000
 
 
 def target_of(recipe: Recipe) -> Column:
@@ -58,7 +59,8 @@ def fit(train: DataFrame, recipe: Recipe) -> PipelineModel:
     # means, labels and every tree read the matrix again, so it is kept while fitting
     kept = train.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(kept, recipe, plain)
+        # every level of every tree is a job over the rows, so few rows must not have many tasks
+        return _fit(kept.coalesce(max(1, kept.count() // _ROWS_PER_TASK)), recipe, plain)
     finally:
         kept.unpersist()
 
@@ -74,18 +76,19 @@ def _fit(train: DataFrame, recipe: Recipe, plain: list[str]) -> PipelineModel:
         stages += [labels, SQLTransformer(statement=code)]
         inputs.insert(recipe.features.index("sex_encoded"), "sex__x")
     learner = GBTRegressor(
-        featuresCol=_VECTOR,
+        featuresCol=VECTOR,
         labelCol=_LABEL,
         predictionCol=_SCORE,
         maxIter=recipe.trees,
         stepSize=recipe.learning_rate,
         maxDepth=recipe.depth,
+        maxBins=recipe.bins,
         minInstancesPerNode=recipe.min_rows_per_leaf,
         featureSubsetStrategy="all" if recipe.feature_fraction >= 1 else str(recipe.feature_fraction),
         seed=recipe.seed,
         checkpointInterval=10,
     )
-    stages += [VectorAssembler(inputCols=inputs, outputCol=_VECTOR), learner]
+    stages += [VectorAssembler(inputCols=inputs, outputCol=VECTOR), learner]
     means_row = train.sparkSession.createDataFrame([means])
     return Pipeline(stages=stages).fit(impute(train, means_row, plain))
 

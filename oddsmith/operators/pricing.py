@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from oddsmith.functions.expressions import odds_floor, power_calibration
 from oddsmith.settings import PAYOUT
 
-# A field of up to this many runners is joined to its total as one block; a larger one is
-# spread over blocks (at most _MAX_BLOCKS) so that no task holds a giant race alone.
+# A field of up to this many runners is joined to its total as one block; a larger one has as many
+# blocks as it needs, so that no task holds a giant race alone.
 _BLOCK_RUNNERS = 64
-_MAX_BLOCKS = 256
 
 
 def _block(number: Column) -> Column:
-    block = F.floor(F.coalesce(number, F.lit(0)) / _BLOCK_RUNNERS)
-    return F.pmod(block.cast("long"), F.lit(_MAX_BLOCKS)).cast("int")
+    return F.floor(F.coalesce(number, F.lit(0)) / _BLOCK_RUNNERS).cast("long")
 
 
 def with_race_total(
@@ -26,11 +24,11 @@ def with_race_total(
 
     The totals are grouped sums, combined on the map side, and are joined back on race and
     block of runner numbers. A normal field is one block, so nothing is replicated for it; the
-    total of a giant race is copied to as many blocks as it has.
+    total of a giant race is copied to the blocks that it has.
     """
-    block = _block(F.col(number))
-    totals = rows.groupBy(race).agg(F.sum(value).alias(name), F.max(block).alias("_last"))
-    blocks = totals.select(race, name, F.explode(F.sequence(F.lit(0), "_last")).alias("_block"))
+    block = _block(F.col(number)).alias("_block")
+    totals = rows.groupBy(race).agg(F.sum(value).alias(name), F.collect_set(block).alias("_blocks"))
+    blocks = totals.select(race, name, F.explode("_blocks").alias("_block"))
     return rows.withColumn("_block", block).join(blocks, [race, "_block"], "left").drop("_block")
 
 

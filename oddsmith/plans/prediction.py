@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
-from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmith.functions.expressions import implied_share, race_day
+from oddsmith.functions.expressions import implied_share
+from oddsmith.functions.expressions import race_day as day_of
 from oddsmith.operators import asof, models
-from oddsmith.operators.evaluation import best_k, calibration_grid, log_rmse
+from oddsmith.operators.evaluation import (
+    backtest_summary,
+    best_k,
+    calibration_grid,
+    log_rmse,
+    predicted_and_actual,
+)
 from oddsmith.operators.history import (
     combo_stats,
     horse_alltime,
@@ -23,11 +29,12 @@ from oddsmith.operators.history import (
 from oddsmith.operators.joins import join_by_key, restrict_to
 from oddsmith.operators.matrix import attach_features, derive
 from oddsmith.operators.pricing import price_races, report
-from oddsmith.recipes import Recipe
+from oddsmith.recipes import FINAL_FEATURES, Recipe
 from oddsmith.settings import CALIBRATION_K, K_GRID, Course, HistoryWindow
-from oddsmith.sources.entries import overlay_weights
+from oddsmith.sources.entries import overlay_weights, without_weight_change
 from oddsmith.sources.results import before, race_entries, training_scope
 from oddsmith.sources.store import Features, load_or_build
+from oddsmith.workspace import identity, shared_dir, stored
 
 
 def window_of(recipe: Recipe) -> HistoryWindow:
@@ -109,10 +116,32 @@ def train(
 
 def predict(model: PipelineModel, matrix: DataFrame, recipe: Recipe) -> DataFrame:
     """Odds of all entries, race by race, favourites first."""
-    return report(models.price(models.score(model, matrix), recipe))
+    return report(priced(model, matrix, recipe))
+
 
+def priced(model: PipelineModel, matrix: DataFrame, recipe: Recipe) -> DataFrame:
+    """Scored and priced entries. Pricing reads the scores twice, so they are stored first."""
+    folder = shared_dir(matrix.sparkSession)
+    scored = stored(models.score(model, matrix), f"{folder}/scored-{uuid.uuid4().hex}")
+    return models.price(scored, recipe)
 
-def final_prediction(
+
+def stored_features(
+    history: DataFrame,
+    folder: str,
+    recipe: Recipe,
+    course: Course = Course(),
+    force_refresh: bool = False,
+) -> Features:
+    """The recipe's features of the history before its cutoff, kept in ``folder``."""
+    if recipe.cutoff:
+        history = before(history, recipe.cutoff)
+    cut = (recipe.cutoff or "all").replace("/", "")
+    window = window_of(recipe)
+    return load_or_build(history, f"{folder}/features-before-{cut}", course, window, force_refresh)
+
+
+def race_day(
     history: DataFrame,
     all_rows: DataFrame,
     entries: DataFrame,
@@ -120,24 +149,54 @@ def final_prediction(
     recipe: Recipe,
     folder: str,
     course: Course = Course(),
-    weights_on: tuple[str, ...] = ("horse_name",),
+    weights_on: Sequence[str] | None = None,
+    force_refresh: bool = False,
+    force_train: bool = False,
 ) -> DataFrame:
-    """Race-day job: stored features and model if present, announced weights, odds report.
+    """Race-day job: stored features and model if present, announced weights, priced entries.
 
-    ``entries`` comes from an entry list; without a ``race_id`` it is taken as one race.
-    Features and model are kept in ``folder``.
+    ``entries`` comes from an entry list; without a ``race_id`` it is taken as one race. The
+    recipe says how weights are looked up (``weights_on`` names another key) and what horses
+    without one get. Only history before the recipe's cutoff is seen. Features and model are
+    kept in ``folder`` under names made of the parameters and files they depend on; the switches
+    build them anew.
     """
-    spark = history.sparkSession
-    features = load_or_build(history, f"{folder}/features", course, window_of(recipe))
+    features = stored_features(history, folder, recipe, course, force_refresh)
+    if recipe.cutoff:
+        history = before(history, recipe.cutoff)
+    made_of = identity(history, recipe, course, sorted(all_rows.inputFiles()))
     model = models.load_or_fit(
-        spark,
-        f"{folder}/model-{recipe.name}",
+        history.sparkSession,
+        f"{folder}/model-{recipe.name}-{made_of}",
         lambda: train(history, all_rows, recipe, course, features),
+        force_train or force_refresh,
     )
-    weighed = overlay_weights(entries, weights, list(weights_on))
+    key = list(weights_on or recipe.weights_on)
+    weighed = overlay_weights(entries, weights, key, recipe.weight_default)
+    if recipe.undo_weight_change:
+        weighed = without_weight_change(weighed)
     if "race_id" not in weighed.columns:
         weighed = weighed.withColumn("race_id", F.lit(""))
-    return predict(model, snapshot_matrix(weighed, features), recipe)
+    return priced(model, snapshot_matrix(weighed, features), recipe)
+
+
+def final_prediction(*job, **switches) -> DataFrame:
+    """The odds report of ``race_day``, favourites first."""
+    return report(race_day(*job, **switches))
+
+
+def evaluated_prediction(
+    prices: DataFrame, actual: DataFrame, on: Sequence[str] = ("horse_number",)
+) -> tuple[DataFrame, DataFrame]:
+    """Prices of ``race_day`` next to known odds, sorted by these, and the Log-RMSE of each race.
+
+    ``actual`` holds ``actual_odds`` by the key ``on``: the runner's number where the entry list is
+    one race, race and number otherwise.
+    """
+    known = actual.select(*on, "actual_odds")
+    table = predicted_and_actual(prices.drop("actual_odds"), known, on)
+    columns = ["race_id", "horse_number", "horse_name", "predicted_odds", "actual_odds"]
+    return table.select(*columns), log_rmse(table)
 
 
 # -- rolling backtest ---------------------------------------------------------------------------
@@ -148,7 +207,7 @@ def _mean_before(rows: DataFrame, value: str) -> DataFrame:
 
     The rows are summed up by day first, so the window over days sees one row per race day.
     """
-    daily = rows.groupBy(race_day(F.col("date_text")).alias("_day")).agg(
+    daily = rows.groupBy(day_of(F.col("date_text")).alias("_day")).agg(
         F.sum(value).alias("_sum"), F.count(value).alias("_n")
     )
     earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,7 +244,10 @@ def baseline_backtest(
     else:
         means = horse_alltime(past).select("horse_name", "horse_avg_odds")
         known = join_by_key(asked, means, ["horse_name"])
-    entries = known.where("_target").withColumn("_day", race_day(F.col("date_text")))
+    narrow = known.select("race_id", "date_text", "horse_number", "odds", "_target", "horse_avg_odds")
+    # read for the training means and, twice, for the pricing
+    known = stored(narrow, f"{shared_dir(known.sparkSession)}/known-{uuid.uuid4().hex}")
+    entries = known.where("_target").withColumn("_day", day_of(F.col("date_text")))
     training = known.where(~F.col("_target")).select("date_text", "horse_avg_odds")
     # every target day gets a row, also where no training row ran on that day
     days = training.unionByName(
@@ -202,25 +264,61 @@ def baseline_backtest(
     return errors.select("race_id", F.col("_year").alias("year"), "log_rmse")
 
 
+# The first letters of a date text ``yyyy/MM/dd`` that name its period.
+_PERIOD_LETTERS = {"year": 4, "month": 7, "day": 10}
+
+
+def _period(refit: str) -> Column:
+    date = F.col("date_text")
+    if refit == "quarter":
+        first = F.ceil(F.substring(date, 6, 2).cast("int") / 3).cast("int") * 3 - 2
+        return F.concat(F.substring(date, 1, 5), F.lpad(first.cast("string"), 2, "0"))
+    return F.substring(date, 1, _PERIOD_LETTERS[refit])
+
+
 def backtest_scores(
-    matrix: DataFrame, entries: DataFrame, recipe: Recipe, parallel_fits: int = 4
+    matrix: DataFrame,
+    entries: DataFrame,
+    recipe: Recipe,
+    refit: str = "day",
+    parallel_fits: int = 4,
 ) -> DataFrame:
-    """Entries scored by models that saw only rows before their race day.
+    """Entries scored by models that saw only rows before their race.
 
-    ``matrix`` holds the training rows and ``entries`` the listed races, both with features.
-    The days of the listed races (a short list given by the user) reach the driver: one model
-    is fitted per day, several at a time.
+    ``matrix`` holds the training rows and ``entries`` the listed races, both with features and
+    both stored by the caller. A model is fitted for every period (``day``, ``month``, ``quarter``
+    or ``year``) in which a listed race lies, on the rows before its first day, so the number of
+    fits follows the calendar, not the list. Scores are written to the shared folder and read
+    back as one table.
     """
-    dates = [r.date_text for r in entries.select("date_text").distinct().orderBy("date_text").collect()]
-    if not dates:
-        return entries.withColumn("score", F.lit(None).cast("double"))
+    return _scored_by(matrix, entries, {"": recipe}, refit, parallel_fits).drop("parameters")
 
-    def one(date: str) -> DataFrame:
-        model = models.fit(before(matrix, date), recipe)
-        return models.score(model, entries.where(F.col("date_text") == date))
+
+def _scored_by(
+    matrix: DataFrame, entries: DataFrame, recipes: dict[str, Recipe], refit: str, parallel_fits: int
+) -> DataFrame:
+    """The entries once for each named recipe, with ``parameters``, the name, and ``score``.
+
+    One pool serves all recipes and periods.
+    """
+    spark = matrix.sparkSession
+    dated = entries.withColumn("_period", _period(refit))
+    # one row per period of the calendar
+    periods = [r[0] for r in dated.select("_period").distinct().orderBy("_period").collect()]
+    if not periods:
+        none = F.lit(None).cast("double").alias("score")
+        return entries.select("*", F.lit(None).cast("string").alias("parameters"), none)
+    folder = f"{shared_dir(spark)}/backtest-{uuid.uuid4().hex}"
+
+    def one(job: tuple[int, tuple[str, str]]) -> None:
+        number, (name, period) = job
+        model = models.fit(before(matrix, period), recipes[name])
+        scored = models.score(model, dated.where(F.col("_period") == period).drop("_period"))
+        scored.withColumn("parameters", F.lit(name)).write.parquet(f"{folder}/part={number}")
 
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, dates))
+        list(pool.map(one, enumerate((name, p) for name in recipes for p in periods)))
+    return spark.read.parquet(folder).drop("part")
 
 
 def model_backtest(scored: DataFrame, recipe: Recipe) -> DataFrame:
@@ -229,6 +327,53 @@ def model_backtest(scored: DataFrame, recipe: Recipe) -> DataFrame:
     return log_rmse(result, race=["race_id", "year"])
 
 
+def backtest_input(
+    history: DataFrame,
+    all_rows: DataFrame,
+    race_ids: DataFrame,
+    course: Course = Course(),
+    window: HistoryWindow = HistoryWindow(),
+    point_in_time: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Training rows and the listed races' entries, both with features, stored once."""
+    rows = training_scope(all_rows, course)
+    rows = rows.withColumns({"actual_odds": F.col("odds"), "is_target": F.lit(False)})
+    entries = race_entries(all_rows, race_ids).withColumns(
+        {"odds": F.col("actual_odds"), "is_target": F.lit(True)}
+    )
+    build = asof_matrix if point_in_time else entry_matrix
+    wide = build(history, rows.unionByName(entries), course, window)
+    columns = [
+        "race_id", "date_text", "odds", "actual_odds", "horse_name", "jockey_name", "sex", "is_target",
+    ]
+    chosen = wide.select(*columns, *FINAL_FEATURES)
+    kept = stored(chosen, f"{shared_dir(history.sparkSession)}/backtest-rows-{uuid.uuid4().hex}")
+    return kept.where(~F.col("is_target")), kept.where("is_target")
+
+
+def listed_backtest(
+    history: DataFrame,
+    all_rows: DataFrame,
+    race_ids: DataFrame,
+    recipe: Recipe | None = None,
+    course: Course = Course(),
+    window: HistoryWindow = HistoryWindow(),
+    refit: str = "day",
+) -> tuple[DataFrame, DataFrame]:
+    """Rolling backtest of listed races (see ``read_race_list``): their errors, and the mean.
+
+    Without a recipe the races are scored by the horses' mean odds so far.
+    """
+    wanted = race_ids.select("race_id").distinct()
+    if recipe is None:
+        errors = baseline_backtest(history, all_rows, wanted, course)
+    else:
+        train, entries = backtest_input(history, all_rows, wanted, course, window)
+        errors = model_backtest(backtest_scores(train, entries, recipe, refit), recipe)
+    errors = stored(errors, f"{shared_dir(history.sparkSession)}/errors-{uuid.uuid4().hex}")
+    return errors, backtest_summary(errors)
+
+
 def search_k(scored: DataFrame, recipe: Recipe, grid: Sequence[float] = K_GRID) -> DataFrame:
     """The best calibration exponent for already scored races."""
     shares = scored.withColumn("share", models.raw_share(recipe))
@@ -236,20 +381,23 @@ def search_k(scored: DataFrame, recipe: Recipe, grid: Sequence[float] = K_GRID)
 
 
 def search_parameters(
-    matrix: DataFrame, entries: DataFrame, recipe: Recipe, grid: Sequence[dict]
+    matrix: DataFrame,
+    entries: DataFrame,
+    recipe: Recipe,
+    grid: Sequence[dict],
+    refit: str = "day",
+    parallel_fits: int = 4,
 ) -> DataFrame:
     """Mean Log-RMSE of each parameter set over the rolling backtest, the best first.
 
-    ``grid`` lists changes to the recipe, for example ``{"learning_rate": 0.05, "leaves": 15}``.
+    ``grid`` lists changes to the recipe's learner settings, for example
+    ``{"learning_rate": 0.05, "leaves": 15}``; a change without effect on the trees fails.
     """
-
-    def one(changes: dict) -> DataFrame:
-        changed = replace(recipe, **changes)
-        errors = model_backtest(backtest_scores(matrix, entries, changed), changed)
-        label = ", ".join(f"{name}={value}" for name, value in sorted(changes.items()))
-        return errors.agg(F.avg("log_rmse").alias("mean_log_rmse")).select(
-            F.lit(label).alias("parameters"), "mean_log_rmse"
-        )
-
-    results = reduce(DataFrame.unionByName, [one(changes) for changes in grid])
-    return results.orderBy("mean_log_rmse", "parameters")
+    labels = [", ".join(f"{name}={value}" for name, value in sorted(c.items())) for c in grid]
+    recipes = {label: recipe.changed(**c) for label, c in zip(labels, grid, strict=True)}
+    scored = _scored_by(matrix, entries, recipes, refit, parallel_fits)
+    # a race under one parameter set is a race of its own; learner settings do not touch pricing
+    apart = scored.withColumn("race_id", F.concat_ws("|", "parameters", "race_id"))
+    errors = log_rmse(models.price(apart, recipe), race=["parameters", "race_id"])
+    means = errors.groupBy("parameters").agg(F.avg("log_rmse").alias("mean_log_rmse"))
+    return means.orderBy("mean_log_rmse", "parameters")

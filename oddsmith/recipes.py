@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from math import ceil, log2
 
-from oddsmith.settings import SHARE_FLOOR
+from oddsmith.settings import DEFAULT_WEIGHT, DEFAULT_WEIGHT_CHANGE, SHARE_FLOOR
 
 _STATIC = ("horse_number", "handicap", "age")
 _WEIGHT = ("weight", "weight_change")
@@ -15,9 +15,10 @@ _FORM = ("horse_recent_3_avg_finish_pos",)
 _SPEED = ("horse_recent_max_speed", "horse_recent_avg_final_600m")
 _PREVIOUS = ("prev_finish_pos", "prev_popularity", "prev_odds")
 _CLASS = ("horse_max_grade", "horse_is_g1_performer")
-_VENUE, _DIST, _FIRM = (
-    f"horse_{part}_avg_finish_pos" for part in ("venue", "dist", "firm")
-)
+# Names of the three aptitude features.
+_VENUE = "horse_venue_avg_finish_pos"
+_DIST = "horse_dist_avg_finish_pos"
+_FIRM = "horse_firm_avg_finish_pos"
 _COMBO = ("combo_avg_finish_pos",)
 
 
@@ -32,6 +33,7 @@ class Recipe:
     learning_rate: float = 0.03
     leaves: int = 31
     max_depth: int | None = None
+    bins: int = 255
     feature_fraction: float = 1.0
     min_rows_per_leaf: int = 20
     seed: int = 42
@@ -45,11 +47,34 @@ class Recipe:
     recent_since: str = "2024/01/01"
     min_rides: int = 5
     cutoff: str | None = None
+    # How announced weights meet the entries: the key, what an entry without one gets, and whether
+    # each horse is put back to its weight before the announced change.
+    weights_on: tuple[str, ...] = ("horse_name",)
+    weight_default: tuple[int, int] | None = (DEFAULT_WEIGHT, DEFAULT_WEIGHT_CHANGE)
+    undo_weight_change: bool = False
 
     @property
     def depth(self) -> int:
-        """Tree depth; level-wise trees of this depth have at least as many leaves as asked for."""
-        return self.max_depth or ceil(log2(self.leaves))
+        """Tree depth: as deep as the leaves asked for need, and no deeper than ``max_depth``."""
+        needed = ceil(log2(self.leaves))
+        return needed if self.max_depth is None else min(needed, self.max_depth)
+
+    @property
+    def learner(self) -> tuple:
+        """The settings that the learner is given."""
+        return (
+            self.trees, self.learning_rate, self.depth, self.bins, self.feature_fraction,
+            self.min_rows_per_leaf, self.seed,
+        )
+
+    def changed(self, **changes) -> Recipe:
+        """The recipe with other learner settings; a change that the learner would not see fails."""
+        other = replace(self, **changes)
+        for name, value in changes.items():
+            alone = replace(self, **{name: value})
+            if value != getattr(self, name) and alone.learner == self.learner:
+                raise ValueError(f"{name}={value} gives the same trees as {name}={getattr(self, name)}")
+        return other
 
     @property
     def encodes_sex(self) -> bool:
@@ -112,9 +137,9 @@ RECIPES = {
         _share("v10", _V10, target="log_share", trees=250, learning_rate=0.03, leaves=40),
         _evaluated("v11", _V11, learning_rate=0.02, leaves=45),
         _evaluated("v12", _V12, trees=400, learning_rate=0.02, leaves=50),
-        _evaluated("v13", _V13, max_depth=6, k=1.5),
+        _evaluated("v13", _V13, max_depth=6, k=1.5, weights_on=("horse_number",), weight_default=None),
         Recipe("v14", FINAL_FEATURES, k=1.5),
-        Recipe("v15", FINAL_FEATURES, k=1.5, odds_floor=1.0),
+        Recipe("v15", FINAL_FEATURES, k=1.5, odds_floor=1.0, undo_weight_change=True),
         Recipe("v16", FINAL_FEATURES, k=1.5, odds_floor=1.0, zero_fill_scores=True),
         Recipe("v17", FINAL_FEATURES, trees=200, learning_rate=0.05, k=1.2),
         Recipe("v18", FINAL_FEATURES, trees=200, learning_rate=0.05),

@@ -52,13 +52,22 @@ def overlay_weights(
     weights: DataFrame,
     on: list[str],
     default: tuple[int, int] | None = (DEFAULT_WEIGHT, DEFAULT_WEIGHT_CHANGE),
+    order: str | None = None,
 ) -> DataFrame:
     """Entries with the announced body weight and its change.
 
     ``on`` names the key (horse, or race and number). Horses without an announcement get
-    ``default``, or null if that is None.
+    ``default``, or null if that is None. Each key counts once: of several announcements the last
+    by the column ``order`` holds; without such a column they must agree, or the query fails.
     """
-    announced = weights.select(*on, "weight", "weight_change")
+    pair = F.struct("weight", "weight_change")
+    if order is None:
+        one, other = F.min(pair), F.max(pair)
+        clash = F.raise_error(F.lit(f"weights announced twice for one {', '.join(on)}"))
+        chosen = F.when(one.eqNullSafe(other), other).otherwise(clash)
+    else:
+        chosen = F.max(F.struct(order, pair.alias("pair")))["pair"]
+    announced = weights.groupBy(*on).agg(chosen.alias("_announced")).select(*on, "_announced.*")
     joined = entries.drop("weight", "weight_change").join(announced, on, "left")
     if default is None:
         return joined

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oddsmith.operators.history import combo_stats, horse_features, jockey_stats
 from oddsmith.settings import Course, HistoryWindow
-from oddsmith.workspace import is_complete
+from oddsmith.workspace import identity, is_complete
 
 _TABLES = ("jockey", "horse", "combo")
 
@@ -49,8 +49,13 @@ def load_or_build(
     window: HistoryWindow = HistoryWindow(),
     force_refresh: bool = False,
 ) -> Features:
-    """The stored tables if all three are complete, else built, written and read back."""
+    """The stored tables if all three are complete, else built, written and read back.
+
+    They lie below ``folder`` under a name made of all parameters and of the history's files, so
+    that no other history, course or window reads them.
+    """
     spark = history.sparkSession
+    folder = f"{folder}/{identity(history, course, window)}"
     complete = all(is_complete(spark, f"{folder}/{name}") for name in _TABLES)
     if force_refresh or not complete:
         write_features(build_features(history, course, window), folder)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +15,9 @@ _local_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting (tests) gets a folder of its own; on a
-    cluster a machine-local folder would be invisible to the executors, so that is an error.
+    Only a local session without that setting (tests) gets a folder of its own, which goes when
+    the program ends; on a cluster a machine-local folder would be invisible to the executors, so
+    that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,10 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _local_dirs:
         folder = tempfile.mkdtemp(prefix="oddsmith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
         _local_dirs[context.applicationId] = folder
     return _local_dirs[context.applicationId]
@@ -41,6 +46,17 @@ def is_complete(spark: SparkSession, path: str, marker: str = "_SUCCESS") -> boo
     return files.exists(folder)
 
 
+def identity(df: DataFrame, *parameters: object) -> str:
+    """A name for what is derived from the files behind ``df`` with the given parameters.
+
+    Writing a table anew gives its files new names, so a derived copy is not found again. Rows
+    that come from no file are known by their plan.
+    """
+    source = sorted(df.inputFiles()) or [str(df.semanticHash())]
+    named = "\n".join([*map(repr, parameters), *source])
+    return hashlib.sha256(named.encode()).hexdigest()[:16]
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Name, length and time of a table's files, so that a derived copy can tell it is stale."""
     files, folder = _hadoop_path(spark, path)

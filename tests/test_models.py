@@ -1,4 +1,6 @@
+import math
 import random
+import uuid
 from dataclasses import replace
 
 import pytest
@@ -158,4 +160,104 @@ def test_recipes():
     counts = [len(RECIPES[f"v{i}"].features) for i in range(1, 20)]
     assert counts == [4, 6, 9, 10, 12, 14, 16, 18, 18, 21, 20, 22, 22, 23, 23, 23, 23, 23, 23]
     assert [RECIPES[f"v{i}"].k for i in (12, 13, 16, 17, 19)] == [1.0, 1.5, 1.5, 1.2, 1.2]
-    assert Recipe("x", (), leaves=31).depth == 5 and RECIPES["v13"].depth == 6
+
+
+def test_learner_settings_of_all_recipes():
+    depths = [RECIPES[f"v{i}"].depth for i in range(1, 20)]
+    assert depths == [5] * 9 + [6, 6, 6] + [5] * 7  # 40, 45 and 50 leaves need six levels
+    assert {RECIPES[f"v{i}"].bins for i in range(1, 20)} == {255}
+    assert Recipe("x", (), leaves=31, max_depth=6).depth == 5
+    assert Recipe("x", (), leaves=31, max_depth=3).depth == 3
+    recipe = RECIPES["v18"]
+    assert recipe.changed(leaves=15).depth == 4 and recipe.changed(max_depth=3).depth == 3
+    for change in ({"leaves": 30}, {"max_depth": 9}, {"learning_rate": 0.1, "leaves": 28}):
+        with pytest.raises(ValueError, match="same trees"):
+            recipe.changed(**change)
+
+
+def _race_day(spark, history, version, folder, **switches):
+    recipe = replace(
+        RECIPES[version].smaller(3, 3), cutoff="2023/01/01" if version == "v13" else None,
+        weights_on=("horse_name",), weight_default=(490, 0),
+    )
+    listed = spark.createDataFrame(
+        [(n, f"H{n}", "牡", 4, 55.0, f"J{n % 8}") for n in range(1, 11)],
+        "horse_number int, horse_name string, sex string, age int, handicap double, jockey_name string",
+    )
+    weights = spark.createDataFrame([("H1", 500, 4)], "horse_name string, weight int, weight_change int")
+    job = (history, history, listed, weights, recipe, folder)
+    return prediction.final_prediction(*job, **switches).toPandas()
+
+
+@pytest.fixture
+def fresh(spark):
+    def path():
+        return f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+
+    return path
+
+
+@pytest.fixture(scope="module")
+def on_disk(spark, history):
+    path = f"{shared_dir(spark)}/test-history-{uuid.uuid4().hex}"
+    history.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_one_folder_serves_recipes_with_other_windows(spark, on_disk, fresh):
+    folder = fresh()
+    shared = [_race_day(spark, on_disk, v, folder) for v in ("v13", "v19")]
+    alone = [_race_day(spark, on_disk, v, fresh()) for v in ("v13", "v19")]
+    assert all(a.equals(b) for a, b in zip(shared, alone, strict=True))
+
+
+def test_nothing_after_the_cutoff_is_seen(spark, on_disk, fresh):
+    cut = results.before(on_disk, "2023/01/01")
+    path = fresh()
+    cut.write.parquet(path)
+    assert _race_day(spark, on_disk, "v13", fresh()).equals(
+        _race_day(spark, spark.read.parquet(path), "v13", fresh())
+    )
+
+
+def test_switches_build_anew(spark, on_disk, fresh, monkeypatch):
+    folder, fits = fresh(), []
+    fit = models.fit
+    monkeypatch.setattr(models, "fit", lambda *a: fits.append(1) or fit(*a))
+    for switches in ({}, {}, {"force_train": True}, {"force_refresh": True}):
+        _race_day(spark, on_disk, "v19", folder, **switches)
+    assert len(fits) == 3
+
+
+def test_the_model_is_applied_once(matrix, entries):
+    recipe = RECIPES["v19"].smaller(3, 3)
+    model = models.fit(matrix, recipe)
+    plan = prediction.priced(model, entries, recipe)._jdf.queryExecution().toString()
+    assert "UDF" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_evaluated_prediction_by_number(spark, matrix, entries):
+    recipe = RECIPES["v19"].smaller(3, 3)
+    one = entries.where("race_id = '58'")
+    actual = one.select("horse_number", "actual_odds")
+    prices = prediction.priced(models.fit(matrix, recipe), one, recipe)
+    table, error = prediction.evaluated_prediction(prices, actual)
+    rows = table.toPandas()
+    assert len(rows) == one.count() and rows.actual_odds.is_monotonic_increasing
+    want = ((rows.actual_odds.map(math.log) - rows.predicted_odds.map(math.log)) ** 2).mean() ** 0.5
+    assert error.first().log_rmse == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("refit", "first"), [("day", "2023/05/01"), ("month", "2023/05"), ("quarter", "2023/04"), ("year", "2023")])
+def test_refit_periods(spark, refit, first):
+    row = spark.createDataFrame([("2023/05/01",)], "date_text string")
+    assert row.select(prediction._period(refit)).first()[0] == first
+
+
+def test_listed_backtest(spark, on_disk):
+    listed = spark.createDataFrame([("40",), ("50",), ("50",)], "race_id string")
+    recipe = RECIPES["v17"].smaller(3, 3)
+    errors, summary = prediction.listed_backtest(on_disk, on_disk, listed, recipe, window=WINDOW, refit="year")
+    assert errors.count() == 2
+    assert summary.first().mean_log_rmse == pytest.approx(errors.agg(F.avg("log_rmse")).first()[0])
+    assert prediction.listed_backtest(on_disk, on_disk, listed)[1].first().races == 2

@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from checks.compare import database, differences
+from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from oddsmith.operators import joins, pricing
 from oddsmith.operators.joins import join_by_key
@@ -16,7 +18,7 @@ def plan_of(df):
     return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("model", "backtest_model", "final"))))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("model", "backtest_model", "final", "checked", "feature_vector"))))
 def test_no_products_and_no_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "MapInPandas"):
@@ -108,6 +110,33 @@ def test_hot_key_is_spread(spark, many_tasks, key):
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "name", ["price_race", "handicap_diff", "scratch_renormalise", "training_matrix", "backtest_snapshot"]
+)
+def test_hot_keys_are_spread_with_the_same_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(joins, "HOT_ROWS", 7)
+    rows = QUERIES[name](spark, SF)
+    if name != "backtest_snapshot":  # whose joined rows are stored first
+        assert "_part" in plan_of(rows)
+    assert differences(rows.toPandas(), database(SF).execute(ORACLE[name]).df()) is None
+
+
+def test_counts_of_several_keys_take_one_pass(spark):
+    rows = hot_rows(spark)
+    lists = joins.hot_keys(rows, ["horse_name"], ["jockey_name"], ["horse_name", "jockey_name"], hot_rows=1_000)
+    horse, jockey, both = lists
+    assert horse.collect() == [("hot", 20)]
+    assert jockey.isEmpty()  # a third of the rows have no jockey, which is many
+    want = rows.where("horse_name = 'hot' and jockey_name is not null").groupBy("jockey_name").count()
+    assert both.isEmpty() and want.where("count > 1000").isEmpty()
+
+
+def test_history_is_not_sorted_before_it_is_reduced(spark, no_broadcast):
+    plan = plan_of(QUERIES["asof_horse_features"](spark, SF))
+    assert "partial_sum" in plan
+    assert not re.search(r"SortAggregate\([^\n]*partial_sum", plan)
+
+
 def test_long_and_short_lists_keep_the_same_rows(spark, monkeypatch):
     rows = hot_rows(spark)
     listed = rows.where("odds > 5").select("race_id")

@@ -127,3 +127,10 @@ def test_log_loss_and_value(spark):
     assert loss.log_loss == pytest.approx(-(math.log(0.5) + math.log(0.75)) / 2) and loss.races == 2
     value = {r.year: (r.bets, r.returned, r.return_rate) for r in evaluation.value_return(df).collect()}
     assert value == {"2024": (1, 3.0, 3.0), "2025": (1, 0.0, 0.0)}
+
+
+def test_races_without_a_known_winner_are_not_perfect_forecasts(spark):
+    rows = [("1", 0.4, 1), ("1", 0.4, 2), ("2", 0.4, None), ("2", 0.4, None), ("3", 0.8, 2)]
+    df = spark.createDataFrame(rows, "race_id string, share double, finish_position int")
+    loss = evaluation.log_loss(df).first()
+    assert loss.log_loss == pytest.approx(math.log(2)) and loss.races == 1

@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmith.schema import WEIGHTS
-from oddsmith.settings import Course
+from oddsmith.settings import Course, HistoryWindow
 from oddsmith.sources import entries, results
 from oddsmith.sources.store import build_features, load_or_build
-from oddsmith.workspace import is_complete, shared_dir, stored
+from oddsmith.workspace import identity, is_complete, shared_dir, stored
 
 
 def test_entry_list(spark, tmp_path):
@@ -48,6 +48,17 @@ def test_weights(spark):
     assert found == {"A": (496, 0), "B": (490, 0)}
 
 
+def test_duplicate_announcements(spark):
+    rows = spark.createDataFrame([("A", 1), ("B", 2)], "horse_name string, horse_number int")
+    twice = spark.createDataFrame([("A", 500, 4), ("A", 500, 4)], WEIGHTS)
+    assert entries.overlay_weights(rows, twice, ["horse_name"]).count() == 2
+    clash = spark.createDataFrame([("A", 500, 4, 1), ("A", 490, -6, 2)], "horse_name string, weight int, weight_change int, told int")
+    with pytest.raises(Exception, match="announced twice"):
+        entries.overlay_weights(rows, clash, ["horse_name"]).collect()
+    last = entries.overlay_weights(rows, clash, ["horse_name"], order="told").collect()
+    assert sorted((r.horse_name, r.weight) for r in last) == [("A", 490), ("B", 490)]
+
+
 def test_scans(spark, make_history):
     rows = make_history(
         {"race_id": "1", "horse_name": "A"},
@@ -83,15 +94,27 @@ def test_scan_joins_names_and_drops_unknown_and_unpriced(spark, make_history):
 
 def test_feature_store(spark, make_history):
     folder = f"{shared_dir(spark)}/store-test-{spark.sparkContext.applicationId}"
-    history = make_history(*[{"race_id": str(i), "horse_name": "A"} for i in range(7)])
+    made = make_history(*[{"race_id": str(i), "horse_name": "A"} for i in range(7)])
+    made.write.mode("overwrite").parquet(f"{folder}/history")
+    history = spark.read.parquet(f"{folder}/history")
     built = load_or_build(history, folder)
     assert built.jockey.first().jockey_ride_count == 7
-    more = history.unionByName(history)
-    assert load_or_build(more, folder).jockey.first().jockey_ride_count == 7
-    assert load_or_build(more, folder, force_refresh=True).jockey.first().jockey_ride_count == 14
+    name = identity(history, Course(), HistoryWindow())
+    assert is_complete(spark, f"{folder}/{name}/combo") and not is_complete(spark, f"{folder}/combo")
+    # what is stored is read, unless asked otherwise
+    spark.range(1).selectExpr("'J' jockey_name", "99L jockey_ride_count").write.mode("overwrite").parquet(
+        f"{folder}/{name}/jockey"
+    )
+    assert load_or_build(history, folder).jockey.first().jockey_ride_count == 99
+    assert load_or_build(history, folder, force_refresh=True).jockey.first().jockey_ride_count == 7
+    # other files, another course or another window are another table
+    more = history.unionByName(made)
+    more.write.mode("overwrite").parquet(f"{folder}/more")
+    more = spark.read.parquet(f"{folder}/more")
+    assert load_or_build(more, folder).jockey.first().jockey_ride_count == 14
+    assert load_or_build(history, folder, window=HistoryWindow(min_rides=9)).jockey.isEmpty()
     direct = build_features(more)
     assert direct.horse.exceptAll(load_or_build(more, folder).horse).isEmpty()
-    assert is_complete(spark, f"{folder}/combo") and not is_complete(spark, f"{folder}/other")
 
 
 def test_shared_folder_is_the_configured_one(spark):
