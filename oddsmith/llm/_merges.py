@@ -64,3 +64,16 @@ def merge(symbols: list[int], merges: Merges) -> int:
             if found is not None:
                 heappush(heap, (found[0], h, symbols[h], merged, found[1]))
     return done
+
+
+def merge_short(symbols: list[int], merges: Merges) -> None:
+    """The same result for a short word, looking at all its pairs each time; the list shrinks."""
+    while len(symbols) > 1:
+        best, at = None, 0
+        for i in range(len(symbols) - 1):
+            found = merges.get((symbols[i], symbols[i + 1]))
+            if found is not None and (best is None or found[0] < best[0]):
+                best, at = found, i
+        if best is None:
+            return
+        symbols[at : at + 2] = [best[1]]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,7 @@ HOT_SHARES = 512
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 64
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,21 +31,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Jobs started inside give their shuffle files back as soon as they end."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, changed: dict[str, str]):
+    before = {key: spark.conf.get(key) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
+def shuffles_dropped(spark: SparkSession, rows_per_batch: int | None = None):
+    """Jobs started inside give their shuffle files back as soon as they end.
+
+    ``rows_per_batch`` bounds what is handed to Python at once, for rows that may be long.
+    """
+    changed = {_CLEANUP: "true"}
+    if rows_per_batch is not None:
+        changed[_BATCH] = str(rows_per_batch)
+    return _settings(spark, changed)
+
+
+def landed(df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark, rows_per_batch):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,8 +72,26 @@ def spread_key(*columns: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 4)
 
 
-def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
-    """Rows of ``counted`` with the largest ``n``, at most ``most`` of them.
+def bit_mask(bits: DataFrame, size: int) -> np.ndarray:
+    """A mask of ``size`` bits, packed, with the numbers in the only column of ``bits`` set.
+
+    Each of a few tasks packs a mask of its own; the driver sees those masks, of fixed size.
+    """
+
+    def packed(batches):
+        mask = np.zeros(size, bool)
+        for batch in batches:
+            mask[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(mask).tobytes()])], names=["mask"])
+
+    mask = np.zeros(size // 8, np.uint8)
+    for row in bits.distinct().coalesce(4).mapInArrow(packed, "mask binary").collect():
+        mask |= np.frombuffer(row["mask"], np.uint8)
+    return mask
+
+
+def by_frequency(counted: DataFrame, n: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``counted`` with the largest ``n``, at most ``most`` of them, and all others.
 
     Counts fall into 16 classes a doubling, so 1,024 at most; whole classes are taken.
     """
@@ -70,7 +103,9 @@ def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
         if held > most:
             break
         least = row["level"]
-    return counted.limit(0) if least is None else counted.filter(level >= least)
+    if least is None:
+        return counted.limit(0), counted
+    return counted.filter(level >= least), counted.filter(level < least)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from oddsmith.llm._merges import SPACE, byte_symbols, merge, merge_table
-from oddsmith.llm._shared import landed, most_frequent
+from oddsmith.llm._merges import SPACE, byte_symbols, merge, merge_short, merge_table
+from oddsmith.llm._shared import by_frequency, landed
 from oddsmith.llm._words import texts_of
 
 # Words whose ids are broadcast, at most; the others are joined.
@@ -28,9 +29,11 @@ FREQUENT = 1 << 19
 # Distinct words that a task holds before it hands its counts on.
 HELD = 1 << 19
 _ROWS_OUT = 256
+# Words of so many bytes are merged by looking at all their pairs.
+_SHORT = 24
 # The separators that str.split takes for white space beyond Unicode's; the split rule
 # within a word.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^SPACE\p{L}\p{N}]+".replace("SPACE", SPACE)
 
 
@@ -66,7 +69,7 @@ class Vocabulary:
             # lower-cased letter by letter, without a form for the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        if SEPARATORS.search(text):
+        if any(c in text for c in SEPARATORS):
             return [w for w in self._blank.split(text) if w]
         return text.split()
 
@@ -74,12 +77,16 @@ class Vocabulary:
         if word.startswith(" "):
             return [self.special[word[1:]]]
         found = []
-        for piece in self.pieces(word):
+        for piece in [word] if word.isalpha() else self.pieces(word):
             letters = [self.symbols[b] for b in piece.encode("utf-8")]
             letters[-1] += self.ending
             symbols = [self.ids[x] for x in letters]
-            merge(symbols, self.merges)
-            found += [s for s in symbols if s >= 0]
+            if len(symbols) <= _SHORT:
+                merge_short(symbols, self.merges)
+                found += symbols
+            else:
+                merge(symbols, self.merges)
+                found += [s for s in symbols if s >= 0]
         return found
 
     def by_id(self) -> list[str]:
@@ -108,14 +115,13 @@ def word_table(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFram
         )
 
     def counted(batches):
-        known, seen = Vocabulary(described.value), {}
+        known, seen = Vocabulary(described.value), Counter()
         for batch in batches:
             for value in texts_of(batch, 0):
-                for word in known.words(value):
-                    seen[word] = seen.get(word, 0) + 1
+                seen.update(known.words(value))
                 if len(seen) >= HELD:
                     yield rows(seen)
-                    seen = {}
+                    seen = Counter()
         yield rows(seen)
 
     def encoded(batches):
@@ -139,43 +145,50 @@ def encode(
     text: str = "text",
     doc_id: str = "doc_id",
     frequent: int = FREQUENT,
+    decoded: bool = False,
 ) -> DataFrame:
     """One row a document: ``doc_id, ids`` (binary, little-endian unsigned 32-bit numbers).
 
-    Null, empty and blank texts have no ids. Special strings in a text are their own id. Texts of any
-    length are encoded whole. Repeated rows each give a row. An empty table gives no rows. Other
-    columns are not looked at.
+    ``decoded`` adds the text that ``decode`` gives, in the same pass. Null, empty and blank texts
+    have no ids. Special strings in a text are their own id. Texts of any length are encoded
+    whole. Repeated rows each give a row. An empty table gives no rows. Other columns are not
+    looked at.
     """
     spark = docs.sparkSession
     described = spark.sparkContext.broadcast(_read(vocabulary))
     table = landed(word_table(docs, vocabulary, text), "bpe-words")
-    top = most_frequent(table, "n", frequent).select("word", "ids").toArrow()
-    known = spark.sparkContext.broadcast((top.column("word"), top.column("ids")))
-    hole = np.array([0xFFFFFFFF], "<u4").tobytes()
-
-    def by_word():
-        words, ids = known.value
-        return dict(zip(words.to_pylist(), ids.to_pylist(), strict=True))
+    often, seldom = by_frequency(table, "n", frequent)
+    top = often.orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
+    ids = top.column("ids").to_pylist()
+    known = spark.sparkContext.broadcast(top.column("word"))
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    sizes = np.array([len(i) // 4 for i in ids] + [0], np.int64)
+    coded = spark.sparkContext.broadcast((flat, sizes))
+    hole = len(ids)
+
+    def ranks():
+        return {word: rank for rank, word in enumerate(known.value.to_pylist())}
 
     def rare_words(batches):
-        reader, table = Vocabulary(described.value), by_word()
+        reader, table = Vocabulary(described.value), ranks()
         for batch in batches:
-            rare = [[w for w in reader.words(v) if w not in table] for v in texts_of(batch, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rare, pa.list_(pa.string()))], names=["key", "rare"]
-            )
+            for start in range(0, len(batch), _ROWS_OUT):
+                part = batch.slice(start, _ROWS_OUT)
+                rare = [[w for w in reader.words(v) if w not in table] for v in texts_of(part, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(rare, pa.list_(pa.string()))], names=["key", "rare"]
+                )
 
-    def with_holes(batches):
-        reader, table = Vocabulary(described.value), by_word()
+    def ranked(batches):
+        reader, rank = Vocabulary(described.value), ranks().get
         for batch in batches:
-            packed = [
-                zlib.compress(b"".join([table.get(w, hole) for w in reader.words(v)]), 1)
-                for v in texts_of(batch, 2)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
-                names=["doc_id", "key", "packed"],
-            )
+            for start in range(0, len(batch), _ROWS_OUT):
+                part = batch.slice(start, _ROWS_OUT)
+                packed = [_pack([rank(w, hole) for w in reader.words(v)]) for v in texts_of(part, 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(packed, pa.binary())],
+                    names=["doc_id", "key", "packed"],
+                )
 
     keyed = docs.selectExpr(
         f"cast(`{doc_id}` as bigint) doc_id",
@@ -187,59 +200,84 @@ def encode(
         .mapInArrow(rare_words, "key binary, rare array<string>")
         .select("key", F.posexplode("rare").alias("position", "word"))
     )
-    found = positions.join(table.select("word", "ids"), "word").groupBy("key")
+    # The position as four bytes in front of the ids: such values sort by position.
+    place = F.unhex(F.lpad(F.hex("position"), 8, "0"))
+    found = positions.join(seldom.select("word", "ids"), "word").groupBy("key")
     filled = landed(
-        found.agg(F.sort_array(F.collect_set(F.struct("position", "ids"))).alias("rare")).select(
-            "key", F.col("rare.ids").alias("rare")
-        ),
-        "bpe-rare",
+        found.agg(F.sort_array(F.collect_set(F.concat(place, F.col("ids")))).alias("rare")), "bpe-rare"
     )
-    sequences = keyed.mapInArrow(with_holes, "doc_id long, key binary, packed binary")
-
-    gap = np.uint32(0xFFFFFFFF)
-
-    def filled_in(packed: bytes, rare: list[bytes] | None) -> bytes:
-        row = np.frombuffer(zlib.decompress(packed), "<u4")
-        if not rare:
-            return row.tobytes()
-        at = row == gap
-        sizes = np.ones(len(row), np.int64)
-        sizes[at] = [len(r) // 4 for r in rare]
-        filler = np.repeat(at, sizes)
-        row = np.repeat(row, sizes)
-        row[filler] = np.frombuffer(b"".join(rare), "<u4")
-        return row.tobytes()
+    sequences = keyed.mapInArrow(ranked, "doc_id long, key binary, packed binary")
 
     def whole(batches):
+        flat, sizes = coded.value
+        places = np.cumsum(sizes) - sizes
+        pieces = _pieces(described.value) if decoded else None
         for batch in batches:
             for start in range(0, len(batch), _ROWS_OUT):
                 part = batch.slice(start, _ROWS_OUT)
                 rows = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
-                ids = pa.array([filled_in(*row) for row in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+                ids = [_ids(_unpack(packed), rare or [], flat, sizes, places) for packed, rare in rows]
+                columns = {"doc_id": part.column(0), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns["decoded"] = pa.array([_text(i, pieces) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
     joined = sequences.join(filled, "key", "left").select("doc_id", "packed", "rare")
-    return joined.mapInArrow(whole, "doc_id long, ids binary")
+    shape = "doc_id long, ids binary" + ", decoded string" * decoded
+    return joined.mapInArrow(whole, shape)
+
+
+def _pack(ranks: list[int]) -> bytes:
+    """Word ranks in few bytes: lowest bytes first, then the higher ones, then coded by frequency."""
+    planes = np.array(ranks, "<u4").view(np.uint8).reshape(-1, 4).T
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(planes.tobytes()) + coder.flush()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed, -15), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _ids(ranks: np.ndarray, rare: list[bytes], flat, sizes, places) -> bytes:
+    """Ids of a text's words; ``rare`` are place and ids of the words without a rank, in order."""
+    counts = sizes[ranks]
+    holes = ranks == len(sizes) - 1
+    counts[holes] = [len(r) // 4 - 1 for r in rare]
+    before = np.cumsum(counts) - counts
+    total = int(counts.sum())
+    at = np.repeat(places[ranks] - before, counts) + np.arange(total)
+    filled = np.repeat(holes, counts)
+    at[filled] = 0
+    found = flat[at] if len(flat) else np.zeros(total, "<u4")
+    if rare:
+        found[filled] = np.frombuffer(b"".join([r[4:] for r in rare]), "<u4")
+    return found.astype("<u4").tobytes()
+
+
+def _pieces(described: str) -> np.ndarray:
+    return np.array(Vocabulary(described).by_id(), object)
+
+
+def _text(ids: bytes | None, pieces: np.ndarray) -> str:
+    return " ".join(pieces[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the pieces of its ids, parted by spaces.
 
     The table from id to piece is as long as the vocabulary and travels with the task. No ids, or
-    null, give an empty text; ids outside the vocabulary give nothing.
+    null, give an empty text. Ids must lie inside the vocabulary.
     """
     described = encoded.sparkSession.sparkContext.broadcast(_read(vocabulary))
     rest = [c for c in encoded.columns if c.lower() not in (ids.lower(), "decoded")]
 
     def decoded(batches):
-        pieces = Vocabulary(described.value).by_id()
+        pieces = _pieces(described.value)
         for batch in batches:
             for start in range(0, len(batch), _ROWS_OUT):
                 part = batch.slice(start, _ROWS_OUT)
-                texts = [
-                    " ".join([pieces[i] for i in np.frombuffer(v or b"", "<u4").tolist()])
-                    for v in part.column(len(rest)).to_pylist()
-                ]
+                texts = [_text(v, pieces) for v in part.column(len(rest)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"]
                 )
@@ -251,8 +289,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
 def encode_report(docs: DataFrame, vocabulary: str, **columns: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the real ids and decoded texts."""
-    coded = decode(encode(docs, vocabulary, **columns), vocabulary)
-    return coded.select(
+    return encode(docs, vocabulary, decoded=True, **columns).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
