@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from oddsmith.llm._shared import landed
 
 
-def _star(links: DataFrame, near: DataFrame) -> DataFrame:
+def _star(near: DataFrame) -> DataFrame:
     """Each neighbour ``v`` in ``near`` (of ``u``) linked to the least neighbour of ``u``."""
     least = landed(near.groupBy("u").agg(F.min("v").alias("m")), "links-least")
-    joined = near.join(least.withColumn("m", F.least("m", "u")), "u")
-    return joined
+    return near.join(least.withColumn("m", F.least("m", "u")), "u")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,12 +24,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     pairs = landed(pairs.distinct(), "links")
-    before = None
-    while True:
+    while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(pairs, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = landed(large.filter("u <> v").distinct(), "links-large")
-        joined = _star(large, large)
+        joined = _star(large)
         small = joined.select("v", "m").unionByName(joined.select(F.col("u").alias("v"), "m"))
         pairs = landed(
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
@@ -38,12 +36,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         # A star is reached when no node has two neighbours above it and none is both leaf and centre.
         centre = pairs.select(F.col("v").alias("u")).distinct()
-        state = pairs.count(), pairs.join(centre, "u", "left_semi").count(), pairs.select("u").distinct().count()
-        if state[1] == 0 and state[0] == state[2]:
+        single = pairs.select("u").distinct().count() == pairs.count()
+        if single and pairs.join(centre, "u", "left_semi").isEmpty():
             break
-        if state == before and state[0] == 0:
-            break
-        before = state
     leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(centres)

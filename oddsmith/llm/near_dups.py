@@ -5,10 +5,11 @@ positions of a circle, a second one, shifted round the circle by k places, gives
 signature: two permutations make all coordinates. Texts with equal sets are one class. Classes that
 agree in a band of coordinates are candidates; a pair is a link only if its whole sets say so.
 
-No bucket is expanded into all its pairs. Every member is first compared with its bucket's hub, the
-member that stands in the largest buckets. Members that the links found so far already connect need
-no comparison with each other; what is left, members outside the hub's component against members of
-other components, is compared block by block on signatures, and the survivors on whole sets.
+No bucket is expanded into all its pairs. Every member is first compared with its bucket's hubs, the
+few members that stand in the largest buckets. Members that the links found so far already connect
+need no comparison with each other; what is left, members outside the main component against members
+of other components, is compared block by block: a product of two matrices counts all common
+shingles of two blocks, and only the links that join components leave the task.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm._links import components
-from oddsmith.llm._shared import join_groups, landed
+from oddsmith.llm._shared import bit_mask, join_groups, landed
 from oddsmith.llm._words import Words, WordReader, mixed
 
 WORDS, SIMILARITY = 5, 0.8
@@ -29,8 +30,10 @@ ROWS = 5
 # Chance that no band of two sets of just the wanted similarity agrees, and the standard deviations
 # by which a signature may fall short of it before its pair is left out.
 MISS, DEVIATIONS = 1e-5, 7
-BLOCK = 256
+HUBS, BLOCK = 8, 256
 MASK_BITS = 23
+# Rows of whole sets that are handed to Python at once, and columns of a block's matrix.
+SET_ROWS, COLUMNS = 512, 1 << 16
 _CHUNK = 1 << 12
 _FACTORS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) | 1) for k in range(16)]
 _SHORT = np.uint64(0x5851F42D4C957F2D)
@@ -160,18 +163,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, signer, text: str, doc_id: str)
     size = 1 << MASK_BITS
     spark = docs.sparkSession
     bit = F.expr(f"cast(xxhash64(id) & {size - 1}L as int)")
-    parts = wanted.filter("id is not null").select(bit.alias("bit"))
-
-    def masks(batches):
-        mask = np.zeros(size, bool)
-        for batch in batches:
-            mask[batch.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(mask).tobytes()])], names=["mask"])
-
-    mask = np.zeros(size // 8, np.uint8)
-    for row in parts.distinct().coalesce(4).mapInArrow(masks, "mask binary").collect():
-        mask |= np.frombuffer(row["mask"], np.uint8)
-    sent = spark.sparkContext.broadcast(mask)
+    marked = wanted.filter("id is not null").select(bit.alias("bit"))
+    sent = spark.sparkContext.broadcast(bit_mask(marked, size))
 
     def read(batches):
         signer, chosen = Signer(words, percent), np.unpackbits(sent.value).astype(bool)
@@ -189,21 +182,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, signer, text: str, doc_id: str)
                     names=["key", "shingles"],
                 )
 
-    marked = _plain(docs, text, doc_id).selectExpr(
+    masked = _plain(docs, text, doc_id).selectExpr(
         f"case when doc_id is not null then cast(xxhash64(doc_id) & {size - 1}L as int) end bit", "text"
     )
-    found = marked.mapInArrow(read, "key binary, shingles binary")
+    found = masked.mapInArrow(read, "key binary, shingles binary")
     once = found.groupBy("key").agg(F.first("shingles").alias("shingles"))
     return once.join(wanted.select("key"), "key", "left_semi")
 
 
+def _whole_sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, signer, text, doc_id):
+    wanted = landed(keys.distinct().join(classes.select("key", "id"), "key"), "near-wanted")
+    return landed(_sets_of(docs, wanted, signer, text, doc_id), "near-sets")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, signer, text, doc_id):
     """Pairs ``a, b`` whose whole sets reach the similarity."""
     percent = signer[1]
     pairs = landed(pairs, "near-pairs")
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    wanted = landed(ends.distinct().join(classes.select("key", "id"), "key"), "near-wanted")
-    sets = landed(_sets_of(docs, wanted, signer, text, doc_id), "near-sets")
+    sets = _whole_sets(docs, ends, classes, signer, text, doc_id)
 
     def exact(batches):
         for batch in batches:
@@ -216,9 +213,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, signer, tex
 
     joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b")
     joined = joined.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
-    return landed(
-        joined.select("a", "b", "of_a", "of_b").mapInArrow(exact, "a binary, b binary"), "near-links"
-    )
+    chosen = joined.select("a", "b", "of_a", "of_b")
+    return landed(chosen.mapInArrow(exact, "a binary, b binary"), "near-links", SET_ROWS)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, signer) -> DataFrame:
@@ -246,25 +242,25 @@ def _alike(pairs: DataFrame, classes: DataFrame, signer) -> DataFrame:
     return joined.select("a", "b", "sign_a", "sign_b").mapInArrow(agreeing, "a binary, b binary")
 
 
-def _rest(members: DataFrame, hubs: DataFrame, classes: DataFrame, linked: DataFrame, signer):
-    """Candidate pairs between components that the comparison with hubs has left open.
+def _rest(docs, members, hubs, classes, linked, signer, text, doc_id) -> DataFrame:
+    """Links between components that the comparison with hubs has left open.
 
-    Members outside the hub's component meet all members of other components. Both sides of a large
-    bucket are dealt into blocks, and each pair of blocks is compared on signatures as one matrix.
+    Members outside the main component, that of the first hub, meet all members of other components.
+    Both sides of a large bucket are dealt into blocks, and every pair of blocks is one comparison.
     """
-    words, percent = signer
+    percent = signer[1]
     part_of = linked.select(F.col("node").alias("key"), "component")
-    placed = members.join(part_of, "key", "left").withColumn(
+    first = hubs.filter("place = 1").join(
+        part_of.select(F.col("key").alias("hub"), F.col("component").alias("main")), "hub", "left"
+    )
+    first = first.select("band", F.coalesce("main", "hub").alias("main"))
+    others = members.join(hubs.select("band", F.col("hub").alias("key")), ["band", "key"], "left_anti")
+    placed = others.join(part_of, "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
-    centre = hubs.join(
-        part_of.select(F.col("key").alias("hub"), F.col("component").alias("main")), "hub", "left"
-    ).select("band", "hub", F.coalesce("main", "hub").alias("main"))
-    centre = landed(centre, "near-centres")
-    placed = placed.join(centre, "band").filter("key <> hub")
+    outside = (F.col("component") != F.col("main")).alias("outside")
     placed = landed(
-        placed.withColumn("outside", F.col("component") != F.col("main")).drop("hub", "main"),
-        "near-placed",
+        placed.join(first, "band").select("band", "key", "component", outside), "near-placed"
     )
     sizes = placed.groupBy("band").agg(
         F.count_if("outside").alias("outer"),
@@ -277,33 +273,33 @@ def _rest(members: DataFrame, hubs: DataFrame, classes: DataFrame, linked: DataF
         F.ceil(F.col("outer") / BLOCK).cast("int").alias("left"),
         F.ceil(F.col("every") / BLOCK).cast("int").alias("right"),
     )
-    dealt = placed.join(landed(open_, "near-open"), "band").join(
-        classes.select("key", "n", "signature"), "key"
-    )
+    dealt = landed(placed.join(landed(open_, "near-open"), "band"), "near-dealt")
+    sets = _whole_sets(docs, dealt.select("key"), classes, signer, text, doc_id)
     place = F.shiftrightunsigned(F.xxhash64("key", "band"), 8)
     one, other = (place % F.col("left")).cast("int"), (place % F.col("right")).cast("int")
     inner = dealt.select(
-        "band", "key", "component", "n", "signature", F.lit(False).alias("first"),
+        "band", "key", "component", F.lit(False).alias("first"),
         F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), other.alias("j"),
     )
     outer = dealt.filter("outside").select(
-        "band", "key", "component", "n", "signature", F.lit(True).alias("first"), one.alias("i"),
+        "band", "key", "component", F.lit(True).alias("first"), one.alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("j"),
     )
-    blocks = outer.unionByName(inner).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rows = outer.unionByName(inner).join(sets, "key")
+    blocks = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def compared(batches):
-        signer = Signer(words, percent)
         for group in _groups(batches):
-            found = _block_pairs(group, signer, percent)
+            found = _block_links(group, percent)
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]
                 )
 
-    order = ["band", "i", "j", "key", "component", "n", "signature", "first"]
-    return blocks.select(*order).mapInArrow(compared, "a binary, b binary").distinct()
+    order = ["band", "i", "j", "key", "component", "first", "shingles"]
+    found = blocks.select(*order).mapInArrow(compared, "a binary, b binary")
+    return landed(found, "near-rest", SET_ROWS)
 
 
 def _groups(batches):
@@ -325,22 +321,43 @@ def _groups(batches):
         yield kept
 
 
-def _block_pairs(group: pa.Table, signer: Signer, percent: int) -> list[tuple[bytes, bytes]]:
-    first = group.column(7).to_numpy()
+def _block_links(group: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of one pair of blocks, as many as join their components."""
+    first = group.column(5).to_numpy()
     if first.all() or not first.any():
         return []
     keys, parts = group.column(3).to_pylist(), group.column(4).to_pylist()
-    n = group.column(5).to_numpy()
-    signs = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(-1, signer.size)
-    right = np.flatnonzero(~first)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column(6).to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(at)[at] > 1  # a shingle of one member is common to none
+    _, at = np.unique(at[shared], return_inverse=True)
+    member = member[shared]
+    left, right = np.flatnonzero(first), np.flatnonzero(~first)
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, member = at[order], member[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, (low, low + COLUMNS))
+        matrix = np.zeros((len(sets), min(COLUMNS, int(at[-1]) + 1 - low)), np.float32)
+        matrix[member[a:b], at[a:b] - low] = 1
+        both += matrix[left] @ matrix[right].T
+    whole = sizes[left][:, None] + sizes[right] - both
     codes = {c: k for k, c in enumerate(dict.fromkeys(parts))}
     part = np.array([codes[c] for c in parts])
+    good = (100 * both >= percent * whole) & (part[left][:, None] != part[right])
+    above = list(range(len(codes)))
     found = []
-    for k in np.flatnonzero(first):
-        fits = np.minimum(n[right], n[k]) * 100 >= np.maximum(n[right], n[k]) * percent
-        near = right[fits & (part[right] != part[k])]
-        near = near[(signs[near] == signs[k]).sum(axis=1) >= signer.agreeing]
-        found += [tuple(sorted((keys[k], keys[other]))) for other in near]
+    for x, y in zip(*np.nonzero(good), strict=True):
+        u, v = part[left[x]], part[right[y]]
+        while above[u] != u:
+            above[u] = u = above[above[u]]
+        while above[v] != v:
+            above[v] = v = above[above[v]]
+        if u != v:
+            above[u] = v
+            found.append((keys[left[x]], keys[right[y]]))
     return found
 
 
@@ -380,20 +397,20 @@ def near_duplicates(
     )
     members = landed(spread.join(buckets, "band"), "near-members")
     standing = members.groupBy("key").agg(F.sum("size").alias("standing"))
+    best = Window.partitionBy("band").orderBy(F.desc("standing"), "key")
     hubs = landed(
         members.join(standing, "key")
-        .groupBy("band")
-        .agg(F.max(F.struct("standing", "key")).alias("hub"))
-        .select("band", F.col("hub.key").alias("hub")),
+        .withColumn("place", F.row_number().over(best))
+        .filter(F.col("place") <= HUBS)
+        .select("band", "place", F.col("key").alias("hub")),
         "near-hubs",
     )
     members = members.drop("size")
     pairs = members.join(hubs, "band").filter("key <> hub")
-    pairs = pairs.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     links = _verified(docs, _alike(pairs, classes, signer), classes, signer, text, doc_id)
     linked = landed(components(links), "near-linked")
-    rest = _rest(members, hubs, classes, linked, signer)
-    more = _verified(docs, rest, classes, signer, text, doc_id)
+    more = _rest(docs, members, hubs, classes, linked, signer, text, doc_id)
     if not more.isEmpty():
         linked = landed(components(links.unionByName(more)), "near-linked")
     whole = classes.select("key", "id", "copies").join(
