@@ -1,11 +1,12 @@
 """Near-duplicate vectors by product quantisation with an exact rerank.
 
 Unit vectors fall into coarse lists; what is left of a vector after its list's centre is coded by
-subspace. A vector visits every list that can hold a partner: a partner within distance r of it lies
-in a cell no further than r away, which the plane between two centres bounds from below. In a list
-the distance to every member is looked up from the codes (asymmetric: the visitor itself is not
-coded) and, less the member's own coding error, is a lower bound; what stays below r is reranked by
-exact cosine. No pair at or above the threshold is lost, and none below it passes.
+subspace. A vector visits its own list and those that may hold a partner: of two partners in
+different cells, at most r apart, one lies within r / 2 of the plane between the cells' centres, and
+that one visits the other's list. In a list the distance to every member is looked up from the codes
+(asymmetric: the visitor itself is not coded) and, less the member's own coding error, is a lower
+bound; what stays below r is reranked by exact cosine. Within the visited lists no pair at or above
+the threshold is lost, and none below it passes.
 
 Equal vectors are one class. Links are counted, not listed: a pair of blocks returns the number of
 links of each class and only as many links as join what is connected.
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from oddsmith.llm._links import components
 from oddsmith.llm._shared import join_groups, landed
@@ -30,6 +32,10 @@ COSINE = 0.9
 FITTED = 20_000
 MOST_LISTS = 1 << 14
 SUBSPACE, CODES = 4, 256
+# Two partners lie r apart in some direction; along the normal of the plane between two centres that
+# is r over the root of the dimensions, give or take. Planes are crossed up to half of so many times
+# that; in up to 25 dimensions this is the whole r / 2, and no partner can be missed.
+REACH = 5.0
 BLOCK = 1024
 _PASSES = 8
 _SLACK = 1e-4
@@ -95,27 +101,34 @@ class Index:
         return codes, np.sqrt(error)
 
     def visits(self, units: np.ndarray, at: np.ndarray, reach: np.ndarray, r: float) -> list[np.ndarray]:
-        """For each vector its own list and later lists that can hold a partner within ``r``.
-
-        A pair across two lists meets in the later one, where the earlier one's vector visits.
-        """
+        """For each vector its own list and those beyond a near plane that may hold a partner."""
         found = []
         squared = (self.centres**2).sum(axis=1)
         step = max(1, (1 << 22) // len(self.centres))
-        later = np.arange(len(self.centres))
+        width = min(r, REACH * r / self.width**0.5) / 2
         for start in range(0, len(units), step):
             part, own = units[start : start + step], at[start : start + step]
             apart = np.maximum(1 + squared - 2 * part @ self.centres.T, 0)
             between = squared[own][:, None] + squared - 2 * self.centres[own] @ self.centres.T
             gap = apart - apart[np.arange(len(part)), own][:, None]
-            near = gap <= 2 * (r + _SLACK) * np.sqrt(np.maximum(between, 0)) + _SLACK
+            near = gap <= 2 * (width + _SLACK) * np.sqrt(np.maximum(between, 0)) + _SLACK
             near &= np.sqrt(apart) <= r + reach + _SLACK
-            near &= later >= own[:, None]
             near[np.arange(len(part)), own] = True
             found += [np.flatnonzero(row).astype(np.int32) for row in near]
         return found
 
 
+def _lookup(parts: np.ndarray, books: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Squared distances of coded members (rows) to visitors (columns), summed over subspaces."""
+    total = np.zeros((codes.shape[1], parts.shape[1]), np.float32)
+    for part, book, code in zip(parts, books, codes, strict=True):
+        table = -2 * book @ part.T
+        table += (book**2).sum(axis=1)[:, None]
+        table += (part**2).sum(axis=1)
+        total += table.astype(np.float32)[code]
+    return total
+
+
 def _units(batch: pa.RecordBatch, column: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(batch.column(column).to_pylist()), kind)
     raw = raw.reshape(len(batch), -1).astype(np.float64)
@@ -142,10 +155,9 @@ def vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id")
                 widths.append(len(numbers) if usable else None)
                 raws.append(numbers.astype(kind).tobytes() if usable else None)
                 keys.append(blake2b(raws[-1], digest_size=16).digest() if usable else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(widths, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())],
-                names=["vec_id", "width", "key", "raw"],
-            )
+            found = [pa.array(widths, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())]
+            names = ["vec_id", "width", "key", "raw"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=names)
 
     chosen = rows.selectExpr(f"cast(`{vec_id}` as bigint) vec_id", f"`{vector}` vector")
     return chosen.mapInArrow(read, "vec_id long, width int, key binary, raw binary")
@@ -191,7 +203,9 @@ def _indexed(classes: DataFrame, sent, kind: str) -> DataFrame:
     )
 
 
-def _visitors(indexed: DataFrame, sent, reach, kind: str, r: float) -> DataFrame:
+def _visiting(indexed: DataFrame, sent, reach, kind: str, r: float) -> DataFrame:
+    """``indexed`` with ``visits``, the lists that each class visits."""
+
     def rows(batches):
         index = Index.restored(sent.value)
         for batch in batches:
@@ -200,14 +214,12 @@ def _visitors(indexed: DataFrame, sent, reach, kind: str, r: float) -> DataFrame
             _, units = _units(batch, 2, kind)
             visits = index.visits(units, batch.column(3).to_numpy(), reach.value, r)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(visits, pa.list_(pa.int32()))],
-                names=["key", "copies", "raw", "visits"],
+                [*batch.columns, pa.array(visits, pa.list_(pa.int32()))],
+                names=[*batch.schema.names, "visits"],
             )
 
-    found = indexed.select("key", "copies", "raw", "list").mapInArrow(
-        rows, "key binary, copies long, raw binary, visits array<int>"
-    )
-    return found.select("key", "copies", "raw", F.explode("visits").alias("list"))
+    shape = StructType([*indexed.schema.fields, StructField("visits", ArrayType(IntegerType()))])
+    return indexed.mapInArrow(rows, shape)
 
 
 def compare(group: pa.Table, index: Index, kind: str, cosine: float, r: float):
@@ -226,13 +238,9 @@ def compare(group: pa.Table, index: Index, kind: str, cosine: float, r: float):
     parts = index._split(units[outside] - index.centres[at])
     codes = np.ascontiguousarray(codes.T)
     left, right = [], []
-    for start in range(0, len(outside), 128):
-        total = np.zeros((min(128, len(outside) - start), len(inside)))
-        for k, book in enumerate(index.books):
-            part = parts[k][start : start + 128]
-            table = ((part[:, None, :] - book[None]) ** 2).sum(axis=2)
-            total += table[:, codes[k]]
-        one, other = np.nonzero(total <= bound)
+    for start in range(0, len(outside), 256):
+        near = _lookup(parts[:, start : start + 256], index.books, codes) <= bound[:, None]
+        other, one = np.nonzero(near)
         left.append(outside[start + one])
         right.append(inside[other])
     left, right = np.concatenate(left), np.concatenate(right)
@@ -244,12 +252,15 @@ def compare(group: pa.Table, index: Index, kind: str, cosine: float, r: float):
         a, b = left[start : start + (1 << 15)], right[start : start + (1 << 15)]
         good[start : start + (1 << 15)] = (raw[a] * raw[b]).sum(axis=1) / (lengths[a] * lengths[b]) >= cosine
     left, right = left[good], right[good]
-    # In their own list two members meet twice; the pair counts where the visitor's key is the less.
-    own = rows.column(9).to_numpy(zero_copy_only=False)
-    rank = np.empty(len(keys), np.int64)
+    # Two members of one list meet twice there; the visitor with the lesser key counts. Two members of
+    # different lists meet in both if each visits the other's; the later list counts.
+    home = rows.column(9).to_numpy()
     distinct = {k: n for n, k in enumerate(sorted(set(keys)))}
-    rank[:] = [distinct[k] for k in keys]
-    once = ~own[left] | (rank[left] < rank[right])
+    rank = np.array([distinct[k] for k in keys])
+    visits = rows.column(10).to_pylist()
+    once = np.where(home[left] == at, rank[left] < rank[right], True)
+    for k in np.flatnonzero(home[left] > at):
+        once[k] = int(home[left[k]]) not in visits[right[k]]
     left, right = left[once], right[once]
     counts = np.bincount(left, copies[right], len(keys)) + np.bincount(right, copies[left], len(keys))
     counted = [(keys[k], int(counts[k])) for k in np.flatnonzero(counts)]
@@ -286,7 +297,8 @@ def _links(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
     for row in per_list.toLocalIterator():  # one row a list
         reach[row["list"]] = row["reach"]
     reaches = spark.sparkContext.broadcast(reach)
-    visitors = landed(_visitors(indexed, sent, reaches, kind, r), "vectors-visits")
+    visiting = landed(_visiting(indexed, sent, reaches, kind, r), "vectors-visits")
+    visitors = visiting.select("key", "copies", "raw", F.col("list").alias("home"), F.explode("visits").alias("list"))
     visited = visitors.groupBy("list").agg(F.count("*").alias("visitors"))
     blocks = landed(
         per_list.join(visited, "list").select(
@@ -297,21 +309,17 @@ def _links(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
         "vectors-blocks",
     )
     place = F.shiftrightunsigned(F.xxhash64("key", "list"), 8)
-    owned = indexed.select("key", F.col("list").alias("home"))
-    outer = (
-        visitors.join(owned, "key")
-        .join(blocks, "list")
-        .select(
-            "list", (place % F.col("left")).cast("int").alias("i"),
-            F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("j"),
-            "key", "copies", "raw", F.lit(False).alias("member"), F.lit(None).cast("binary").alias("codes"),
-            F.lit(0.0).alias("error"), (F.col("home") == F.col("list")).alias("own"),
-        )
+    outer = visitors.join(blocks, "list").select(
+        "list", (place % F.col("left")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("j"),
+        "key", "copies", "raw", F.lit(False).alias("member"), F.lit(None).cast("binary").alias("codes"),
+        F.lit(0.0).alias("error"), "home", F.lit(None).cast("array<int>").alias("visits"),
     )
-    inner = indexed.join(blocks, "list").select(
+    inner = visiting.join(blocks, "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"),
         (place % F.col("right")).cast("int").alias("j"),
-        "key", "copies", "raw", F.lit(True).alias("member"), "codes", "error", F.lit(False).alias("own"),
+        "key", "copies", "raw", F.lit(True).alias("member"), "codes", "error",
+        F.col("list").alias("home"), "visits",
     )
     dealt = outer.unionByName(inner).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
 
