@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm._shared import landed
+from oddsmith.llm._shared import bit_mask, landed
 from oddsmith.llm._words import WordReader, texts_of
 
 # Words on each side of an entity that may reveal it, the least bytes of such a word, and the least
@@ -25,7 +25,9 @@ from oddsmith.llm._words import WordReader, texts_of
 WINDOW, LEAST_BYTES, SUPPORT = 8, 4, 2
 GENERALISE, REMOVE = 0.7, 0.9
 # Bits of the mask of candidate terms that travels to the tasks; a chance hit costs a row, no more.
-MASK_BITS = 20
+MASK_BITS = 24
+# Distinct terms that a task holds before it hands its counts on.
+HELD = 1 << 20
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("general", "removed")
 
@@ -147,7 +149,7 @@ def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """Entities of each row and the terms around them, found in its whole text."""
 
     def rows(batches):
-        contexts = _Contexts()
+        contexts, names = _Contexts(), ("entity", "term", "start", "end", "first")
         for batch in batches:
             counts, bases, named, around = [[] for _ in KINDS], [], [], []
             for value in texts_of(batch, 2):
@@ -157,11 +159,9 @@ def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                 bases.append(_written(spans))
                 named.append(sorted({_entity(k, value[a:b]) for k, a, b in spans}))
                 near = contexts.of(value, spans) if spans else []
-                names = ("entity", "term", "start", "end", "first")
                 around.append([dict(zip(names, c, strict=True)) for c in near])
-            item = pa.struct(
-                [("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            item = pa.struct(list(zip(names, kinds, strict=True)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -177,27 +177,43 @@ def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return _keyed(docs, text, doc_id).mapInArrow(rows, _FOUND)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    each, back = np.unique(terms, return_inverse=True)
+    return each, np.bincount(back, counts, len(each)).astype(np.int64)
+
+
+def _term_rows(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    arrays = [pa.array(part[0].view(np.int64)), pa.array(part[1])]
+    return pa.RecordBatch.from_arrays(arrays, names=["term", "n"])
+
+
 def term_documents(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """``term, n_term``: documents of the whole corpus that hold each of ``terms``.
 
     A mask of fixed size keeps words that cannot be among the terms out of the shuffle.
     """
     size = 1 << MASK_BITS
-    marked = terms.select(F.expr(f"term & {size - 1}L").cast("int").alias("bit")).distinct()
-    mask = np.zeros(size, bool)
-    mask[[r["bit"] for r in marked.toLocalIterator()]] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
+    bits = terms.select(F.expr(f"cast(term & {size - 1}L as int)").alias("bit"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_mask(bits, size))
 
     def counted(batches):
-        reader, wanted = WordReader(), np.unpackbits(sent.value).astype(bool)
+        reader, wanted, held = WordReader(), np.unpackbits(sent.value).astype(bool), []
         for batch in batches:
             for words in reader.read(batch, 0):
                 hit = wanted[(words.hash & np.uint64(size - 1)).astype(np.int64)]
-                pairs = np.unique(np.rec.fromarrays([words.hash[hit], words.row[hit]]))
-                term, n = np.unique(pairs["f0"], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"]
-                )
+                term, row = words.hash[hit], words.row[hit]
+                order = np.lexsort((row, term))
+                term, row = term[order], row[order]
+                new = np.ones(len(term), bool)
+                new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+                held.append(np.unique(term[new], return_counts=True))
+                if sum(len(t) for t, _ in held) >= HELD:
+                    held = [_merged(held)]
+                    if len(held[0][0]) >= HELD:
+                        yield _term_rows(held.pop())
+        if held:
+            yield _term_rows(_merged(held))
 
     found = docs.selectExpr(f"`{text}` text").mapInArrow(counted, "term long, n long")
     sums = found.groupBy("term").agg(F.sum("n").alias("n_term"))
