@@ -1,16 +1,9 @@
-import random
-
 import pytest
+from made_texts import words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string"
 
 
-def words(seed, n):
-    chosen = random.Random(seed)
-    syllables = ["an", "ber", "cho", "du", "eli", "fo", "gra", "hin"]
-    return ["".join(chosen.choice(syllables) for _ in range(chosen.randint(1, 4))) for _ in range(n)]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with everything that may go wrong, and two columns named like results."""

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import words
+from made_texts import words
 
 from oddsmith.llm import near_dups
 from oddsmith.llm._links import components
@@ -65,9 +65,10 @@ def test_odd_rows(odd, none):
     assert near_dups.keep_one(none).collect() == []
 
 
-@pytest.mark.parametrize("block", [near_dups.BLOCK, 4])
-def test_a_group_around_one_text_and_a_chain(spark, monkeypatch, block):
+@pytest.mark.parametrize(("hubs", "block"), [(near_dups.HUBS, near_dups.BLOCK), (1, 4)])
+def test_a_group_around_one_text_and_a_chain(spark, monkeypatch, hubs, block):
     """Copies that are near one text but not near each other, and texts linked one to the next."""
+    monkeypatch.setattr(near_dups, "HUBS", hubs)
     monkeypatch.setattr(near_dups, "BLOCK", block)
     chosen = random.Random(9)
     base = words(20, 80)
@@ -86,6 +87,46 @@ def test_a_group_around_one_text_and_a_chain(spark, monkeypatch, block):
     check(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
 
 
+@pytest.mark.parametrize("columns", [near_dups.COLUMNS, 7])
+def test_blocks_join_what_is_linked(monkeypatch, columns):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dups, "COLUMNS", columns)
+    random = np.random.default_rng(4)
+    base = random.integers(0, 2**62, 60).astype(np.uint64)
+    sets = [np.unique(random.choice(base, 45, replace=False)) for _ in range(24)]
+    sets += [random.integers(0, 2**62, 30).astype(np.uint64) for _ in range(4)]
+    first = [k % 3 == 0 for k in range(len(sets))]
+    keys = [bytes([k]) for k in range(len(sets))]
+    parts = [bytes([k // 2]) for k in range(len(sets))]
+    names = ["band", "i", "j", "key", "component", "first", "shingles"]
+    group = pa.table([[0] * 28] * 3 + [keys, parts, first, [x.tobytes() for x in sets]], names=names)
+    found = near_dups._block_links(group, 60)
+
+    def joined(links):
+        above = {p: p for p in parts}
+
+        def top(x):
+            while above[x] != x:
+                x = above[x]
+            return x
+
+        for a, b in links:
+            above[max(top(parts[a]), top(parts[b]))] = min(top(parts[a]), top(parts[b]))
+        return [top(p) for p in parts]
+
+    want = [
+        (a, b)
+        for a in range(28)
+        for b in range(28)
+        if first[a] and not first[b]
+        and 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))
+    ]
+    assert joined([(a[0], b[0]) for a, b in found]) == joined(want)
+    assert want and len(found) < len(want)
+
+
 def test_signature_agreement_is_the_similarity():
     import numpy as np
 

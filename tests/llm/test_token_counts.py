@@ -56,6 +56,8 @@ def test_round_trip(odd, none, frequent):
         data = b"".join(i.to_bytes(4, "little") for i in ids)
         want.append((r["doc_id"], data, library.decode(ids, skip_special_tokens=False)))
     assert sorted(rows, key=str) == sorted(want, key=str)
+    at_once = bpe.encode(odd, WORDS, frequent=frequent, decoded=True).collect()
+    assert sorted([(r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in at_once], key=str) == sorted(want, key=str)
     assert bpe.encode_report(none, WORDS).collect() == []
 
 
