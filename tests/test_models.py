@@ -248,7 +248,10 @@ def test_evaluated_prediction_by_number(spark, matrix, entries):
     assert error.first().log_rmse == pytest.approx(want)
 
 
-@pytest.mark.parametrize(("refit", "first"), [("day", "2023/05/01"), ("month", "2023/05"), ("quarter", "2023/04"), ("year", "2023")])
+@pytest.mark.parametrize(
+    ("refit", "first"),
+    [("day", "2023/05/01"), ("month", "2023/05"), ("quarter", "2023/04"), ("year", "2023")],
+)
 def test_refit_periods(spark, refit, first):
     row = spark.createDataFrame([("2023/05/01",)], "date_text string")
     assert row.select(prediction._period(refit)).first()[0] == first

@@ -52,7 +52,8 @@ def test_duplicate_announcements(spark):
     rows = spark.createDataFrame([("A", 1), ("B", 2)], "horse_name string, horse_number int")
     twice = spark.createDataFrame([("A", 500, 4), ("A", 500, 4)], WEIGHTS)
     assert entries.overlay_weights(rows, twice, ["horse_name"]).count() == 2
-    clash = spark.createDataFrame([("A", 500, 4, 1), ("A", 490, -6, 2)], "horse_name string, weight int, weight_change int, told int")
+    schema = "horse_name string, weight int, weight_change int, told int"
+    clash = spark.createDataFrame([("A", 500, 4, 1), ("A", 490, -6, 2)], schema)
     with pytest.raises(Exception, match="announced twice"):
         entries.overlay_weights(rows, clash, ["horse_name"]).collect()
     last = entries.overlay_weights(rows, clash, ["horse_name"], order="told").collect()
