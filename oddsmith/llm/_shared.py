@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARES = 512
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 64
+# Rows that are handed to Python at once where whole texts go there.
+TEXT_ROWS = 1024
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
-SEGMENT_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+SEGMENT_BYTES = 1 << 18
 _TEXTS = 256
 
 
@@ -86,7 +86,7 @@ class WordReader:
             self._inverse = np.multiply.accumulate(ones)
 
     def read(self, batch: pa.RecordBatch, column: int) -> Iterator[Words]:
-        """The batch's rows in pieces of about 2 MB of text, at least one row each."""
+        """The batch's rows in pieces of about half a megabyte of text, at least one row each."""
         values = batch.column(column).fill_null("")
         if not len(values):
             return

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from oddsmith.llm._merges import SPACE, byte_symbols, merge, merge_short, merge_table
-from oddsmith.llm._shared import by_frequency, landed
+from oddsmith.llm._shared import TEXT_ROWS, by_frequency, landed
 from oddsmith.llm._words import texts_of
 
 # Words whose ids are broadcast, at most; the others are joined.
@@ -37,20 +37,14 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^SPACE\p{L}\p{N}]+".replace("SPACE", SPACE)
 
 
-class Vocabulary:
-    """A word-end vocabulary file: lower case, composed characters, white space dropped."""
+class Splitter:
+    """Splits texts into words: lower case, composed characters, white space dropped.
 
-    def __init__(self, described: str):
-        import regex
+    ``special`` holds the special strings and their ids.
+    """
 
-        read = json.loads(described)
-        model = read["model"]
-        self.ids = model["vocab"]
-        self.ending = model["end_of_word_suffix"] or ""
-        self.merges = merge_table(model)
-        self.symbols = byte_symbols()
-        self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
-        self.pieces = regex.compile(PIECES).findall
+    def __init__(self, special: dict[str, int]):
+        self.special = special
         strings = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self._cut = re.compile(f"({strings})") if strings else None
         self._blank = re.compile(f"[{SPACE}]+")
@@ -73,6 +67,22 @@ class Vocabulary:
             return [w for w in self._blank.split(text) if w]
         return text.split()
 
+
+class Vocabulary(Splitter):
+    """A word-end vocabulary file."""
+
+    def __init__(self, described: str):
+        import regex
+
+        read = json.loads(described)
+        super().__init__({t["content"]: t["id"] for t in read["added_tokens"]})
+        model = read["model"]
+        self.ids = model["vocab"]
+        self.ending = model["end_of_word_suffix"] or ""
+        self.merges = merge_table(model)
+        self.symbols = byte_symbols()
+        self.pieces = regex.compile(PIECES).findall
+
     def encode(self, word: str) -> list[int]:
         if word.startswith(" "):
             return [self.special[word[1:]]]
@@ -106,7 +116,9 @@ def word_table(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFram
 
     Null texts have no words. Counts are combined in the task before the shuffle.
     """
-    described = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
+    content = _read(vocabulary)
+    described = docs.sparkSession.sparkContext.broadcast(content)
+    special = Vocabulary(content).special
 
     def rows(seen: dict[str, int]):
         return pa.RecordBatch.from_arrays(
@@ -115,7 +127,7 @@ def word_table(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFram
         )
 
     def counted(batches):
-        known, seen = Vocabulary(described.value), Counter()
+        known, seen = Splitter(special), Counter()
         for batch in batches:
             for value in texts_of(batch, 0):
                 seen.update(known.words(value))
@@ -155,8 +167,10 @@ def encode(
     looked at.
     """
     spark = docs.sparkSession
-    described = spark.sparkContext.broadcast(_read(vocabulary))
-    table = landed(word_table(docs, vocabulary, text), "bpe-words")
+    vocabulary_file = Vocabulary(_read(vocabulary))
+    special = vocabulary_file.special
+    by_id = spark.sparkContext.broadcast(vocabulary_file.by_id() if decoded else None)
+    table = landed(word_table(docs, vocabulary, text), "bpe-words", TEXT_ROWS)
     often, seldom = by_frequency(table, "n", frequent)
     top = often.orderBy(F.desc("n"), "word").select("word", "ids").toArrow()
     ids = top.column("ids").to_pylist()
@@ -170,7 +184,7 @@ def encode(
         return {word: rank for rank, word in enumerate(known.value.to_pylist())}
 
     def rare_words(batches):
-        reader, table = Vocabulary(described.value), ranks()
+        reader, table = Splitter(special), ranks()
         for batch in batches:
             for start in range(0, len(batch), _ROWS_OUT):
                 part = batch.slice(start, _ROWS_OUT)
@@ -180,7 +194,7 @@ def encode(
                 )
 
     def ranked(batches):
-        reader, rank = Vocabulary(described.value), ranks().get
+        reader, rank = Splitter(special), ranks().get
         for batch in batches:
             for start in range(0, len(batch), _ROWS_OUT):
                 part = batch.slice(start, _ROWS_OUT)
@@ -204,14 +218,16 @@ def encode(
     place = F.unhex(F.lpad(F.hex("position"), 8, "0"))
     found = positions.join(seldom.select("word", "ids"), "word").groupBy("key")
     filled = landed(
-        found.agg(F.sort_array(F.collect_set(F.concat(place, F.col("ids")))).alias("rare")), "bpe-rare"
+        found.agg(F.sort_array(F.collect_set(F.concat(place, F.col("ids")))).alias("rare")),
+        "bpe-rare",
+        TEXT_ROWS,
     )
     sequences = keyed.mapInArrow(ranked, "doc_id long, key binary, packed binary")
 
     def whole(batches):
         flat, sizes = coded.value
         places = np.cumsum(sizes) - sizes
-        pieces = _pieces(described.value) if decoded else None
+        pieces = np.array(by_id.value, object) if decoded else None
         for batch in batches:
             for start in range(0, len(batch), _ROWS_OUT):
                 part = batch.slice(start, _ROWS_OUT)
@@ -255,10 +271,6 @@ def _ids(ranks: np.ndarray, rare: list[bytes], flat, sizes, places) -> bytes:
     return found.astype("<u4").tobytes()
 
 
-def _pieces(described: str) -> np.ndarray:
-    return np.array(Vocabulary(described).by_id(), object)
-
-
 def _text(ids: bytes | None, pieces: np.ndarray) -> str:
     return " ".join(pieces[np.frombuffer(ids or b"", "<u4")].tolist())
 
@@ -269,11 +281,11 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     The table from id to piece is as long as the vocabulary and travels with the task. No ids, or
     null, give an empty text. Ids must lie inside the vocabulary.
     """
-    described = encoded.sparkSession.sparkContext.broadcast(_read(vocabulary))
+    by_id = encoded.sparkSession.sparkContext.broadcast(Vocabulary(_read(vocabulary)).by_id())
     rest = [c for c in encoded.columns if c.lower() not in (ids.lower(), "decoded")]
 
     def decoded(batches):
-        pieces = _pieces(described.value)
+        pieces = np.array(by_id.value, object)
         for batch in batches:
             for start in range(0, len(batch), _ROWS_OUT):
                 part = batch.slice(start, _ROWS_OUT)
@@ -289,9 +301,10 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
 def encode_report(docs: DataFrame, vocabulary: str, **columns: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the real ids and decoded texts."""
-    return encode(docs, vocabulary, decoded=True, **columns).select(
+    digests = encode(docs, vocabulary, decoded=True, **columns).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+    return landed(digests, "bpe-digests", TEXT_ROWS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm._links import components
-from oddsmith.llm._shared import bit_mask, join_groups, landed
+from oddsmith.llm._shared import TEXT_ROWS, bit_mask, join_groups, landed
 from oddsmith.llm._words import Words, WordReader, mixed
 
 WORDS, SIMILARITY = 5, 0.8
@@ -192,7 +192,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, signer, text: str, doc_id: str)
 
 def _whole_sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, signer, text, doc_id):
     wanted = landed(keys.distinct().join(classes.select("key", "id"), "key"), "near-wanted")
-    return landed(_sets_of(docs, wanted, signer, text, doc_id), "near-sets")
+    return landed(_sets_of(docs, wanted, signer, text, doc_id), "near-sets", TEXT_ROWS)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, signer, text, doc_id):
@@ -378,7 +378,7 @@ def near_duplicates(
     looked at.
     """
     signer = (words, percent)
-    signed = landed(signatures(docs, signer, text, doc_id), "near-signatures")
+    signed = landed(signatures(docs, signer, text, doc_id), "near-signatures", TEXT_ROWS)
     classes = landed(
         signed.filter("n > 0")
         .groupBy("key")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm._shared import landed
+from oddsmith.llm._shared import TEXT_ROWS, landed, shuffles_dropped
 from oddsmith.llm._words import Words, WordReader, mixed
 
 SLOTS = 1 << 18
@@ -148,7 +148,8 @@ def fit(
         .sortWithinPartitions(F.xxhash64("id"), "id")
         .mapInArrow(trained, "weights binary")
     )
-    found = learnt.first()
+    with shuffles_dropped(docs.sparkSession, TEXT_ROWS):
+        found = learnt.first()
     return np.frombuffer(found[0], "<f4") if found else np.zeros(SLOTS + 1, np.float32)
 
 
