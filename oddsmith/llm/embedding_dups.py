@@ -32,10 +32,6 @@ COSINE = 0.9
 FITTED = 20_000
 MOST_LISTS = 1 << 14
 SUBSPACE, CODES = 4, 256
-# Two partners lie r apart in some direction; along the normal of the plane between two centres that
-# is r over the root of the dimensions, give or take. Planes are crossed up to half of so many times
-# that; in up to 25 dimensions this is the whole r / 2, and no partner can be missed.
-REACH = 5.0
 BLOCK = 1024
 _PASSES = 8
 _SLACK = 1e-4
@@ -105,7 +101,7 @@ class Index:
         found = []
         squared = (self.centres**2).sum(axis=1)
         step = max(1, (1 << 22) // len(self.centres))
-        width = min(r, REACH * r / self.width**0.5) / 2
+        width = r / 2
         for start in range(0, len(units), step):
             part, own = units[start : start + step], at[start : start + step]
             apart = np.maximum(1 + squared - 2 * part @ self.centres.T, 0)

@@ -70,3 +70,25 @@ def test_odd_rows(spark):
 
 def test_table(spark):
     check(table(spark, "/root/testdata/sf0.01", "embeddings"))
+
+
+@pytest.mark.parametrize(("width", "own"), [(64, 4), (256, 16), (384, 16), (768, 16)])
+def test_partners_of_low_intrinsic_dimension_meet(width, own):
+    """Of any two partners one visits the other's list, also if vectors fill few of their dimensions."""
+    random = np.random.default_rng(width)
+    basis = np.linalg.qr(random.normal(size=(width, own)))[0].T
+    made = random.normal(size=(1500, own))
+    made /= np.sqrt((made**2).sum(axis=1, keepdims=True))
+    aside = random.normal(size=made.shape)
+    aside -= (aside * made).sum(axis=1, keepdims=True) * made
+    aside /= np.sqrt((aside**2).sum(axis=1, keepdims=True))
+    cosine = random.uniform(0.9, 0.95, (len(made), 1))
+    units = np.concatenate([made, cosine * made + np.sqrt(1 - cosine**2) * aside]) @ basis
+    index = embedding_dups.Index(units, int(len(units) ** 0.5))
+    at, apart = embedding_dups._nearest(units, index.centres)
+    reach = np.full(len(index.centres), -np.inf)
+    np.maximum.at(reach, at, np.sqrt(apart))
+    visits = [set(v.tolist()) for v in index.visits(units, at, reach, float(np.sqrt(2 - 2 * 0.9)))]
+    pairs = np.argwhere(np.triu(units @ units.T >= 0.9, 1))
+    assert len(pairs) >= len(made)
+    assert all(at[b] in visits[a] or at[a] in visits[b] for a, b in pairs.tolist())
