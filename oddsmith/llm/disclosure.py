@@ -5,6 +5,10 @@ words around them are terms that may give them away even when the entity itself
 much a term tells about an entity is estimated from the whole corpus: their pointwise mutual
 information, log2(N n(t,e) / (n(t) n(e))) over documents, as a share of the entity's own information
 log2(N / n(e)). Terms above one threshold are generalised, above a higher one removed.
+
+With ``whole`` every word of a document with an entity is a term of it, and a disclosing term is
+changed wherever it stands, in any document. Otherwise terms stand within ``WINDOW`` words of the
+entity and are changed there only.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm._shared import bit_mask, landed
-from oddsmith.llm._words import WordReader, texts_of
+from oddsmith.llm._shared import bit_mask, join_groups, landed
+from oddsmith.llm._words import WordReader, Words, texts_of
 
 # Words on each side of an entity that may reveal it, the least bytes of such a word, and the least
 # number of documents that show both together.
@@ -102,10 +106,24 @@ class _Contexts:
         self._lettered = np.zeros(256, np.int64)
         self._lettered[0x61:0x7B] = self._lettered[0x80:] = 1
 
+    def _words(self, text: str) -> Words:
+        batch = pa.RecordBatch.from_arrays([pa.array([text], pa.large_string())], names=["text"])
+        return next(self._reader.read(batch, 0))
+
+    def all(self, text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term, start and end of every usable word outside the entities: places in code points."""
+        words = self._words(text)
+        letters = np.concatenate([[0], np.cumsum(self._lettered[words.data])])
+        point = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+        start, end = point[words.start], point[words.end]
+        usable = (words.end - words.start >= LEAST_BYTES) & (letters[words.end] > letters[words.start])
+        for _, a, b in spans:
+            usable[int(np.searchsorted(end, a, "right")) : int(np.searchsorted(start, b, "left"))] = False
+        return words.hash.view(np.int64)[usable], start[usable], end[usable]
+
     def of(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
         """``(entity, term, start, end, first)``: places in code points; ``first`` of its kind here."""
-        batch = pa.RecordBatch.from_arrays([pa.array([text], pa.large_string())], names=["text"])
-        words = next(self._reader.read(batch, 0))
+        words = self._words(text)
         letters = np.concatenate([[0], np.cumsum(self._lettered[words.data])])
         point = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
         start, end = point[words.start], point[words.end]
@@ -133,7 +151,8 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 
 _FOUND = (
     "doc_id long, key binary, n_email long, n_ip long, n_card long, n_phone long, base string,"
-    "entities array<long>, contexts array<struct<entity: long, term: long, start: int, end: int, first: boolean>>"
+    "entities array<long>, contexts array<struct<entity: long, term: long, start: int, end: int, first: boolean>>,"
+    "terms array<long>"
 )
 
 
@@ -145,20 +164,26 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     )
 
 
-def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Entities of each row and the terms around them, found in its whole text."""
+def entities(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole: bool = False
+) -> DataFrame:
+    """Entities of each row, found in its whole text, and the terms around them.
+
+    With ``whole`` the distinct terms of the text instead, if it has any entity.
+    """
 
     def rows(batches):
         contexts, names = _Contexts(), ("entity", "term", "start", "end", "first")
         for batch in batches:
-            counts, bases, named, around = [[] for _ in KINDS], [], [], []
+            counts, bases, named, around, terms = [[] for _ in KINDS], [], [], [], []
             for value in texts_of(batch, 2):
                 spans = base_spans(value)
                 for kind, column in enumerate(counts):
                     column.append(sum(s[0] == kind for s in spans))
                 bases.append(_written(spans))
                 named.append(sorted({_entity(k, value[a:b]) for k, a, b in spans}))
-                near = contexts.of(value, spans) if spans else []
+                near = contexts.of(value, spans) if spans and not whole else []
+                terms.append(np.unique(contexts.all(value, spans)[0]) if spans and whole else [])
                 around.append([dict(zip(names, c, strict=True)) for c in near])
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             item = pa.struct(list(zip(names, kinds, strict=True)))
@@ -170,8 +195,11 @@ def entities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                     pa.array(bases, pa.string()),
                     pa.array(named, pa.list_(pa.int64())),
                     pa.array(around, pa.list_(item)),
+                    pa.array(terms, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "contexts"],
+                names=[
+                    "doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "contexts", "terms",
+                ],
             )
 
     return _keyed(docs, text, doc_id).mapInArrow(rows, _FOUND)
@@ -251,6 +279,71 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame, text: str = "text") -> D
     )
 
 
+def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """``term, n_term, action`` of the terms that disclose any entity they share a document with.
+
+    ``found`` are landed ``entities`` with ``whole``. A term in too many documents to reach the lower
+    threshold, were it in all documents of the entity, is left out before pairs are counted.
+    """
+    documents = float(max(found.count(), 1))
+    listed = found.filter(F.size("entities") > 0).select(
+        F.monotonically_increasing_id().alias("row"), "entities", "terms"
+    )
+    listed = landed(listed, "pii-listed")
+    named = landed(listed.select("row", F.explode("entities").alias("entity")), "pii-named")
+    known = landed(named.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-known")
+    words = landed(listed.select("row", F.explode("terms").alias("term")), "pii-words")
+    counted = landed(term_documents(docs, words.select("term").distinct(), text), "pii-counted")
+    own = F.log2(F.lit(documents) / F.col("n_entity"))
+    possible = F.log2(F.lit(documents) / F.col("n_term")) >= GENERALISE * own - 1e-9
+    both = (
+        join_groups(named, known, "entity", "n_entity")
+        .join(join_groups(words, counted, "term", "n_term"), "row")
+        .filter((own > 0) & possible)
+        .groupBy("entity", "term", "n_entity", "n_term")
+        .agg(F.count("*").alias("n_both"))
+        .filter(F.col("n_both") >= SUPPORT)
+    )
+    mutual = F.log2(F.lit(documents) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    share = mutual / own
+    action = F.when(share >= REMOVE, "removed").when(share >= GENERALISE, "general")
+    acted = both.withColumn("action", action).filter("action is not null")
+    return acted.groupBy("term", "n_term").agg(F.max("action").alias("action"))  # removed wins
+
+
+def _all_term_spans(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """As ``_term_spans``, for every place in ``docs`` where a disclosing term stands."""
+    terms = landed(disclosing_terms(docs, found, text), "pii-disclosing")
+    size = 1 << MASK_BITS
+    bits = terms.select(F.expr(f"cast(term & {size - 1}L as int)").alias("bit"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_mask(bits, size))
+
+    def places(batches):
+        reader, contexts, wanted = WordReader(), _Contexts(), np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            for words in reader.read(batch, 1):
+                hit = wanted[(words.hash & np.uint64(size - 1)).astype(np.int64)]
+                keys, found = [], []
+                for row in np.unique(words.row[hit]).tolist():
+                    value = batch.column(1)[words.first + row].as_py()
+                    term, start, end = contexts.all(value, base_spans(value))
+                    kept = wanted[term & (size - 1)]
+                    found.append((term[kept], start[kept].astype(np.int32), end[kept].astype(np.int32)))
+                    keys += [batch.column(0)[words.first + row].as_py()] * int(kept.sum())
+                if keys:
+                    columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, pa.binary()), *columns], names=["key", "term", "start", "end"]
+                    )
+
+    keyed = _keyed(docs, text, doc_id).select("key", "text")
+    hits = landed(keyed.mapInArrow(places, "key binary, term long, start int, end int"), "pii-places")
+    each = join_groups(hits, terms, "term", "n_term").filter("action is not null")
+    each = each.select("key", "start", "end", F.col("action").alias("kind")).distinct()
+    spans = F.sort_array(F.collect_list(F.struct("kind", "start", "end")))
+    return landed(each.groupBy("key").agg(spans.alias("terms")), "pii-terms")
+
+
 def _term_spans(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """``key, terms``: kind, start and end of the terms to change, for each text that has any."""
     pairs = landed(disclosing_pairs(docs, found, text), "pii-disclosing")
@@ -261,7 +354,9 @@ def _term_spans(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return landed(each.groupBy("key").agg(spans.alias("terms")), "pii-terms")
 
 
-def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def report(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole: bool = False
+) -> DataFrame:
     """One row a document: the counts of entities, ``base_sha256`` and ``spans``.
 
     Spans are ``kind:start:end`` in code points, end exclusive; after the entities stand the terms
@@ -269,10 +364,10 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     Repeated rows each give a row and count as documents. An empty table gives no rows. Other
     columns are not looked at.
     """
-    found = landed(entities(docs, text, doc_id), "pii-entities")
-    terms = _term_spans(docs, found, text)
+    found = landed(entities(docs, text, doc_id, whole), "pii-entities")
+    terms = _all_term_spans(docs, found, text, doc_id) if whole else _term_spans(docs, found, text)
     written = F.transform("terms", lambda t: F.concat_ws(":", t["kind"], t["start"], t["end"]))
-    joined = found.drop("contexts", "entities").join(terms, "key", "left")
+    joined = found.drop("contexts", "entities", "terms").join(terms, "key", "left")
     every = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(written, ","))
     return joined.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
@@ -295,13 +390,15 @@ def cleaned(text: str, terms: list[tuple[str, int, int]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sanitise(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole: bool = False
+) -> DataFrame:
     """``doc_id, text``: every document with its personal data and disclosing terms taken out.
 
     A null text stays null; other cases as in ``report``.
     """
-    found = landed(entities(docs, text, doc_id), "pii-entities")
-    terms = _term_spans(docs, found, text)
+    found = landed(entities(docs, text, doc_id, whole), "pii-entities")
+    terms = _all_term_spans(docs, found, text, doc_id) if whole else _term_spans(docs, found, text)
 
     def rows(batches):
         for batch in batches:

@@ -42,7 +42,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure.report(table(spark, sf_dir, "documents"))
+    return disclosure.report(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,16 @@ def test_disclosure_against_plain_counts(spark):
         want += len(both) >= 2 and share >= 0.7
     found = disclosure.entities(docs)
     assert disclosure.disclosing_pairs(docs, found).count() == want
+
+
+def test_terms_far_from_the_entity_and_in_other_documents(spark):
+    told = "grandmaster " + "so it is and " * 10 + "jo@mail.example.com " + "so it is and " * 10 + "grandmaster"
+    rows = [(k, told) for k in range(4)] + [(4, "here is the Grandmaster of it")]
+    rows += [(k, "so it is and it is the one of here") for k in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"].split(",") for r in disclosure.report(docs, whole=True).collect()}
+    last = len(told) - 11
+    assert [s for s in found[0] if "removed" in s] == ["removed:0:11", f"removed:{last}:{last + 11}"]
+    assert found[4] == ["removed:12:23"] and found[10] == [""]
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs, whole=True).collect()}
+    assert clean[4] == "here is the  of it" and "grandmaster" not in clean[0]
