@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from oddsmith.llm._shared import bit_mask, join_groups, landed
 from oddsmith.llm._words import WordReader, Words, texts_of
 
-# Words on each side of an entity that may reveal it, the least bytes of such a word, and the least
-# number of documents that show both together.
+# Without ``whole``: words on each side of an entity that may reveal it, the least bytes of such a
+# word, and the least number of documents that show both together.
 WINDOW, LEAST_BYTES, SUPPORT = 8, 4, 2
 GENERALISE, REMOVE = 0.7, 0.9
 # Bits of the mask of candidate terms that travels to the tasks; a chance hit costs a row, no more.
@@ -111,12 +111,11 @@ class _Contexts:
         return next(self._reader.read(batch, 0))
 
     def all(self, text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Term, start and end of every usable word outside the entities: places in code points."""
+        """Term, start and end of every word outside the entities: places in code points."""
         words = self._words(text)
-        letters = np.concatenate([[0], np.cumsum(self._lettered[words.data])])
         point = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
         start, end = point[words.start], point[words.end]
-        usable = (words.end - words.start >= LEAST_BYTES) & (letters[words.end] > letters[words.start])
+        usable = np.ones(len(start), bool)
         for _, a, b in spans:
             usable[int(np.searchsorted(end, a, "right")) : int(np.searchsorted(start, b, "left"))] = False
         return words.hash.view(np.int64)[usable], start[usable], end[usable]
@@ -302,7 +301,6 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
         .filter((own > 0) & possible)
         .groupBy("entity", "term", "n_entity", "n_term")
         .agg(F.count("*").alias("n_both"))
-        .filter(F.col("n_both") >= SUPPORT)
     )
     mutual = F.log2(F.lit(documents) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = mutual / own

@@ -110,3 +110,41 @@ def test_terms_far_from_the_entity_and_in_other_documents(spark):
     assert found[4] == ["removed:12:23"] and found[10] == [""]
     clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs, whole=True).collect()}
     assert clean[4] == "here is the  of it" and "grandmaster" not in clean[0]
+
+
+def test_whole_documents_against_plain_shares(spark):
+    """One document with both is enough, and short words and numbers are terms."""
+    import math
+
+    chosen = random.Random(5)
+    common = ["alpha", "beta", "it", "of"]
+    rows = []
+    for k in range(90):
+        seq = [chosen.choice([*common, f"r{k % 30}", str(k), f"w{k % 9}"]) for _ in range(25)]
+        if k % 5 == 0:
+            seq.insert(chosen.randint(0, 25), f"p{k % 20}@x.org" if k % 15 else f"one{k}@x.org")
+        rows.append((k, " ".join(seq)))
+    held = {k: set(t.split()) for k, t in rows}
+    having = {}
+    for k, words in held.items():
+        for word in words:
+            having.setdefault(word, set()).add(k)
+    action = {}
+    for entity in [w for w in having if "@" in w]:
+        own = math.log2(90 / len(having[entity]))
+        for term in {w for k in having[entity] for w in held[k] if "@" not in w}:
+            both = len(having[entity] & having[term])
+            share = math.log2(90 * both / (len(having[term]) * len(having[entity]))) / own
+            if share >= 0.7:
+                action[term] = max(action.get(term, ""), "removed" if share >= 0.9 else "general")
+    assert any(a == "general" for a in action.values()) and any(t.isdigit() for t in action)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in disclosure.report(docs, whole=True).collect()}
+    for k, text in rows:
+        want, at = [], 0
+        for word in text.split(" "):
+            if word in action:
+                want.append((action[word], at, at + len(word)))
+            at += len(word) + 1
+        terms = ",".join(f"{a}:{b}:{c}" for a, b, c in sorted(want))
+        assert found[k] == ",".join(filter(None, [plain(text), terms]))
