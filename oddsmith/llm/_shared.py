@@ -92,6 +92,25 @@ def bit_mask(bits: DataFrame, size: int) -> np.ndarray:
     return mask
 
 
+def repeated_mask(hashes: DataFrame, column: str, most_bits: int = 1 << 27) -> np.ndarray:
+    """A packed mask with a bit set for each 64-bit hash of ``column``: the hash modulo its size.
+
+    The size, a power of two, is at least eight bits a hash and at most 16 MB. Bits are united in
+    Spark, by words of 64; the driver sees one row a word that has any.
+    """
+    bits = 1 << 16
+    while bits < min(8 * hashes.count(), most_bits):
+        bits *= 2
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")).alias("set")
+    )
+    mask = np.zeros(bits // 64, "<u8")
+    found = words.toArrow()
+    mask[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+    return mask.view(np.uint8)
+
+
 def by_frequency(counted: DataFrame, n: str, most: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``counted`` with the largest ``n``, at most ``most`` of them, and all others.
 

@@ -11,12 +11,15 @@ from oddsmith.llm import (
     disclosure,
     embedding_dups,
     exact_dedup,
+    filter_audit,
     maxent,
     mixing,
     near_dups,
     quality,
     sharding,
+    spelling,
     token_counts,
+    toxicity,
 )
 from oddsmith.llm._shared import table
 
@@ -68,6 +71,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_shard": op2_shard,
@@ -79,6 +94,9 @@ QUERIES = {
     "op8_near_dups": op8_near_dups,
     "op9_embedding_dups": op9_embedding_dups,
     "op10_token_counts": op10_token_counts,
+    "op11_toxicity": op11_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE = {
@@ -126,4 +144,38 @@ FROM queue q LEFT JOIN took t ON q.doc_id = t.doc_id AND q.ord = t.ord""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_filter_audit": r"""
+WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+fails AS (
+  SELECT part, doc_id,
+         (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body))::INT
+         + 8 * regexp_matches(body, '[#$%&*|]')::INT + 16 * coalesce(first_id < doc_id, false)::INT AS bits
+  FROM rows),
+counted AS (
+  SELECT part, bits, bit_count(bits)::INT AS failing, count(*) AS n,
+         count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+         count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM fails GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, bit)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits_of
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step::INT AS step, bits_of[step] AS mine,
+         coalesce(list_sum(bits_of[1:step - 1]), 0)::INT AS earlier
+  FROM orders, range(1, 6) r(step))
+SELECT part, filter_order, step,
+       coalesce(sum(n) FILTER (bits & (earlier | mine) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (bits & mine > 0 AND bits & earlier = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (bits & mine > 0 AND bits & earlier > 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (bits = mine), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (bits & mine > 0 AND bits & earlier = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (bits & mine > 0 AND bits & earlier = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * (120 // greatest(failing, 1))) FILTER (bits & mine > 0), 0)::BIGINT AS shapley
+FROM counted, steps GROUP BY ALL""",
 }
