@@ -566,3 +566,4 @@ ORACLE["evaluated_baseline"] = _done(
     + " FROM priced GROUP BY race_id",
 )
 ORACLE["listed_backtest"] = ORACLE["backtest_mean"]
+ORACLE["feature_store_in_steps"] = ORACLE["feature_store_roundtrip"]

@@ -21,6 +21,7 @@ from oddsmith.settings import Course
 from oddsmith.sources import entries as entry_source
 from oddsmith.sources import results as result_source
 from oddsmith.sources import store
+from oddsmith.sources.increments import FeatureStore
 from oddsmith.workspace import is_complete, stored
 
 KEY = ["race_id", "horse_number"]
@@ -143,10 +144,24 @@ def feature_store_roundtrip(t: Tables) -> DataFrame:
     folder = t.fresh("features")
     store.load_or_build(t.results, folder, window=WINDOW)
     kept = store.load_or_build(t.results, folder, window=WINDOW)
+    return _features_of(kept)
+
+
+def _features_of(kept: store.Features) -> DataFrame:
     joined = matrix.attach_features(kept.combo, kept.jockey, kept.horse)
     return joined.select("horse_name", "jockey_name", "combo_avg_finish_pos", *JOCKEY, *HORSE)
 
 
+def feature_store_in_steps(t: Tables) -> DataFrame:
+    """A store that took in the results before the cutoff, then those of the days after it."""
+    results, kept = t.fresh("results"), FeatureStore(t.spark, t.fresh("states"), window=WINDOW, buckets=8)
+    result_source.before(t.runners, CUTOFF).write.parquet(f"{results}/first")
+    kept.update(results)
+    t.runners.where(F.col("date_text") >= CUTOFF).write.parquet(f"{results}/second")
+    kept.update(results)
+    return _features_of(kept.features())
+
+
 def prediction_report(t: Tables) -> DataFrame:
     scoped = _scored(t).where(result_source.on_course(Course()))
     return pricing.report(pricing.price_races(scoped, F.col("raw_share"), 1.2, 1.0))
@@ -618,7 +633,7 @@ def checked_param_search(t: Tables) -> DataFrame:
 
 _QUERIES = [
     results_scan, training_scope, cutoff_scan, race_entries, race_dates, entry_list,
-    feature_store_roundtrip, prediction_report,
+    feature_store_roundtrip, feature_store_in_steps, prediction_report,
     time_to_seconds, speed_mps, race_grade, sex_age_split, sex_encoding, handicap_diff,
     jockey_changed, weight_overlay, weight_scenario, implied_share, log_share, share_floor,
     odds_floor, power_calibration, impute_train_mean, impute_score_mean, impute_score_zero,

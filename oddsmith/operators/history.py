@@ -143,7 +143,8 @@ def going_aptitude(history: DataFrame, course: Course = Course()) -> DataFrame:
     return _aptitude(history, on_firm(course), "horse_firm_avg_finish_pos")
 
 
-def _latest_starts(history: DataFrame, starts: int) -> DataFrame:
+def latest_starts(history: DataFrame, starts: int) -> DataFrame:
+    """The given number of latest starts of each horse."""
     by_horse = Window.partitionBy("horse_name").orderBy(*latest_first())
     return history.withColumn("_start", F.row_number().over(by_horse)).where(
         F.col("_start") <= starts
@@ -153,12 +154,12 @@ def _latest_starts(history: DataFrame, starts: int) -> DataFrame:
 def previous_start(history: DataFrame) -> DataFrame:
     """Result, popularity, odds, jockey and weight carried at each horse's latest start."""
     columns = [F.col(source).alias(name) for name, source in PREVIOUS.items()]
-    return _latest_starts(history, 1).select("horse_name", *columns)
+    return latest_starts(history, 1).select("horse_name", *columns)
 
 
 def recent_form(history: DataFrame, starts: int = 3) -> DataFrame:
     """Mean finish over each horse's latest starts."""
-    latest = _latest_starts(history, starts).groupBy("horse_name")
+    latest = latest_starts(history, starts).groupBy("horse_name")
     return latest.agg(F.avg("finish_position").alias("horse_recent_3_avg_finish_pos"))
 
 
@@ -203,7 +204,7 @@ def horse_features(
     )
     is_last = F.col("_start") == 1
     starts = (
-        _latest_starts(history, 3)
+        latest_starts(history, 3)
         .groupBy("horse_name")
         .agg(
             F.avg("finish_position").alias("horse_recent_3_avg_finish_pos"),

@@ -152,6 +152,7 @@ def race_day(
     weights_on: Sequence[str] | None = None,
     force_refresh: bool = False,
     force_train: bool = False,
+    features: Features | None = None,
 ) -> DataFrame:
     """Race-day job: stored features and model if present, announced weights, priced entries.
 
@@ -159,9 +160,10 @@ def race_day(
     recipe says how weights are looked up (``weights_on`` names another key) and what horses
     without one get. Only history before the recipe's cutoff is seen. Features and model are
     kept in ``folder`` under names made of the parameters and files they depend on; the switches
-    build them anew.
+    build them anew. ``features`` may come from a ``FeatureStore`` that takes in new results.
     """
-    features = stored_features(history, folder, recipe, course, force_refresh)
+    if features is None:
+        features = stored_features(history, folder, recipe, course, force_refresh)
     if recipe.cutoff:
         history = before(history, recipe.cutoff)
     made_of = identity(history, recipe, course, sorted(all_rows.inputFiles()))

@@ -46,6 +46,19 @@ def is_complete(spark: SparkSession, path: str, marker: str = "_SUCCESS") -> boo
     return files.exists(folder)
 
 
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below ``path``; none if there is no such path."""
+    files, folder = _hadoop_path(spark, path)
+    if not files.exists(folder):
+        return []
+    return [s.getPath().toString() for s in files.listStatus(folder) if s.isDirectory()]
+
+
+def parameters_id(*parameters: object) -> str:
+    """A name for what is made with the given parameters."""
+    return hashlib.sha256("\n".join(map(repr, parameters)).encode()).hexdigest()[:16]
+
+
 def identity(df: DataFrame, *parameters: object) -> str:
     """A name for what is derived from the files behind ``df`` with the given parameters.
 
