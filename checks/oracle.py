@@ -567,3 +567,16 @@ ORACLE["evaluated_baseline"] = _done(
 )
 ORACLE["listed_backtest"] = ORACLE["backtest_mean"]
 ORACLE["feature_store_in_steps"] = ORACLE["feature_store_roundtrip"]
+
+# a grid a thousandth wide around the best point of the coarse one
+ORACLE["k_refined"] = _done(
+    SCORED + GRID + """, best AS (SELECT k FROM grid ORDER BY log_rmse, k LIMIT 1),
+fine AS (SELECT best.k - 1e-1 + g * 1e-3 AS k FROM best, range(201) t(g) WHERE best.k - 1e-1 + g * 1e-3 >= 1e0),
+fine_k AS (
+  SELECT race_id, k, ln(odds) + k * ln(raw) - ln(sum(raw ** k) OVER (PARTITION BY race_id, k)) AS error
+  FROM scored, fine),
+fine_race AS (SELECT race_id, k, sqrt(avg(error ** 2)) AS rmse FROM fine_k GROUP BY race_id, k)
+""",
+    "SELECT round(k, 2) AS k, round(log_rmse, 5) AS log_rmse FROM (SELECT k, avg(rmse) AS log_rmse"
+    " FROM fine_race GROUP BY k ORDER BY log_rmse, k LIMIT 1)",
+)

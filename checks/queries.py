@@ -412,6 +412,13 @@ def k_best(t: Tables) -> DataFrame:
     return evaluation.best_k(k_grid(t))
 
 
+def k_refined(t: Tables) -> DataFrame:
+    """The best exponent between the grid points, to two places."""
+    return evaluation.refine_k(_scored(t), share="raw_share").select(
+        F.round("k", 2).alias("k"), F.round("log_rmse", 5).alias("log_rmse")
+    )
+
+
 def asof_horse_features(t: Tables) -> DataFrame:
     return asof.asof_horse_features(
         t.results, t.results.select(*KEY, "horse_name", "date_text"), window=WINDOW
@@ -527,6 +534,28 @@ def checked_importance(t: Tables) -> DataFrame:
     return table.select("feature", F.sum("importance").over(Window.partitionBy()).alias("total"))
 
 
+def _nodes(t: Tables) -> tuple[Recipe, DataFrame]:
+    recipe, _ = _fitted(t, "v19")
+    return recipe, models.ensemble_nodes(t.spark, f"{t.folder}/model-v19", recipe)
+
+
+def model_nodes(t: Tables) -> DataFrame:
+    return _nodes(t)[1]
+
+
+def model_split_importance(t: Tables) -> DataFrame:
+    recipe, nodes = _nodes(t)
+    return models.split_importance(nodes, recipe)
+
+
+def model_staged_errors(t: Tables) -> DataFrame:
+    """Errors of the races to predict after every fiftieth tree of one fit."""
+    recipe, model = _fitted(t, "v19")
+    scored = models.staged_scores(model, _past_matrix(t, t.entries), range(50, recipe.trees + 1, 50))
+    kept = stored(scored.withColumn("parameters", F.lit(recipe.name)), t.fresh("staged"))
+    return prediction._staged_errors(kept, recipe)
+
+
 def model_roundtrip(t: Tables) -> DataFrame:
     recipe, model = _fitted(t, "v16")
     path = t.fresh("model")
@@ -642,9 +671,10 @@ _QUERIES = [
     final600_recent, venue_aptitude, distance_aptitude, going_aptitude,
     previous_start, recent3_form, nearest_speed, race_normalise, price_race,
     log_rmse, pred_vs_actual, backtest_baseline, backtest_snapshot, backtest_mean,
-    k_grid, k_best, asof_horse_features, asof_jockey_stats, asof_combo_stats,
+    k_grid, k_best, k_refined, asof_horse_features, asof_jockey_stats, asof_combo_stats,
     scratch_renormalise, log_loss, value_return,
     model_odds, model_share, model_logshare, model_predictions, model_importance,
+    model_nodes, model_split_importance, model_staged_errors,
     model_roundtrip, final_prediction, backtest_model, model_k_best, model_param_search,
     checked_odds, checked_share, checked_logshare, checked_predictions, checked_importance,
     checked_roundtrip, feature_vector, stored_windows, evaluated_baseline, listed_backtest,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -99,6 +100,40 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return output.select(*rows.columns, F.col(_SCORE).alias("score"))
 
 
+def staged_scores(model: PipelineModel, rows: DataFrame, stages: Sequence[int]) -> DataFrame:
+    """``rows`` once for each of ``stages``, with ``trees`` and the ``score`` of that many trees.
+
+    The ensemble is cut into runs of trees between the stages, and a stage's score is the sum over
+    its runs, so every tree is applied once whatever the number of stages. A stage beyond the last
+    tree fails.
+    """
+    ensemble = model.stages[-1]
+    bounds = [0, *sorted(set(stages))]
+    if bounds[-1] > ensemble.getNumTrees or bounds[1] < 1:
+        raise ValueError(f"stages must lie from 1 to {ensemble.getNumTrees}")
+    prepared = PipelineModel(model.stages[:-1]).transform(rows)
+    sums, total = [], F.lit(0.0)
+    for n, (first, end) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        prepared = _trees(ensemble, first, end, f"_run_{n}").transform(prepared)
+        total = total + F.col(f"_run_{n}")
+        sums.append(F.struct(F.lit(end).alias("trees"), total.alias("score")))
+    return prepared.select(*rows.columns, F.inline(F.array(*sums)))
+
+
+def _trees(ensemble: GBTRegressionModel, first: int, end: int, output: str) -> GBTRegressionModel:
+    """The trees ``first`` to ``end`` of an ensemble, with their weights, as a model of their own."""
+    context = SparkContext._active_spark_context
+    jvm, gateway = context._jvm, context._gateway
+    regression = jvm.org.apache.spark.ml.regression
+    trees, weights = ensemble._java_obj.trees(), ensemble.treeWeights
+    chosen = gateway.new_array(regression.DecisionTreeRegressionModel, end - first)
+    by = gateway.new_array(jvm.double, end - first)
+    for n in range(first, end):
+        chosen[n - first], by[n - first] = trees[n], weights[n]
+    run = GBTRegressionModel(regression.GBTRegressionModel(output, chosen, by, ensemble.numFeatures))
+    return run.setFeaturesCol(VECTOR).setPredictionCol(output)
+
+
 def raw_share(recipe: Recipe) -> Column:
     """The share the raw output stands for, before calibration."""
     raw = F.col("score")
@@ -123,6 +158,43 @@ def importance(model: PipelineModel, recipe: Recipe, spark: SparkSession) -> Dat
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
+def ensemble_nodes(spark: SparkSession, path: str, recipe: Recipe) -> DataFrame:
+    """The trees of the model saved at ``path``, a row a node.
+
+    ``tree, node, feature, threshold, gain, rows, low, high``; of a leaf all but the first two and
+    ``rows`` are null. Rows at or below the threshold go to the node ``low``.
+    """
+    saved = spark.read.parquet(f"{path}/stages/*GBTRegressor*/data")
+    node, split = F.col("nodeData"), F.col("nodeData.split")
+    inner = F.col("nodeData.leftChild") >= 0
+    names = F.array(*[F.lit(f) for f in recipe.features])
+
+    def of_split(value: Column) -> Column:
+        return F.when(inner, value)
+
+    return saved.select(
+        F.col("treeID").alias("tree"),
+        node["id"].alias("node"),
+        of_split(F.try_element_at(names, split["featureIndex"] + 1)).alias("feature"),
+        of_split(split["leftCategoriesOrThreshold"][0]).alias("threshold"),
+        of_split(node["gain"]).alias("gain"),
+        node["rawCount"].alias("rows"),
+        of_split(node["leftChild"]).alias("low"),
+        of_split(node["rightChild"]).alias("high"),
+    )
+
+
+def split_importance(nodes: DataFrame, recipe: Recipe) -> DataFrame:
+    """``feature, splits, gain``: how often each feature splits, and its gain weighted by rows.
+
+    The most used first; features without a split have zeros.
+    """
+    features = nodes.sparkSession.createDataFrame([(f,) for f in recipe.features], "feature string")
+    used = nodes.where(F.col("feature").isNotNull()).groupBy("feature")
+    counted = used.agg(F.count("*").alias("splits"), F.sum(F.col("gain") * F.col("rows")).alias("gain"))
+    return features.join(counted, "feature", "left").na.fill(0).orderBy(F.desc("splits"), "feature")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

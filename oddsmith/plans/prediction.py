@@ -395,11 +395,105 @@ def search_parameters(
     ``grid`` lists changes to the recipe's learner settings, for example
     ``{"learning_rate": 0.05, "leaves": 15}``; a change without effect on the trees fails.
     """
-    labels = [", ".join(f"{name}={value}" for name, value in sorted(c.items())) for c in grid]
-    recipes = {label: recipe.changed(**c) for label, c in zip(labels, grid, strict=True)}
-    scored = _scored_by(matrix, entries, recipes, refit, parallel_fits)
+    scored = _scored_by(matrix, entries, _named_grid(recipe, grid), refit, parallel_fits)
     # a race under one parameter set is a race of its own; learner settings do not touch pricing
     apart = scored.withColumn("race_id", F.concat_ws("|", "parameters", "race_id"))
     errors = log_rmse(models.price(apart, recipe), race=["parameters", "race_id"])
     means = errors.groupBy("parameters").agg(F.avg("log_rmse").alias("mean_log_rmse"))
     return means.orderBy("mean_log_rmse", "parameters")
+
+
+def _named_grid(recipe: Recipe, grid: Sequence[dict]) -> dict[str, Recipe]:
+    labels = [", ".join(f"{name}={value}" for name, value in sorted(c.items())) for c in grid]
+    return {label: recipe.changed(**c) for label, c in zip(labels, grid, strict=True)}
+
+
+def search_by_stages(
+    matrix: DataFrame,
+    entries: DataFrame,
+    recipe: Recipe,
+    grid: Sequence[dict],
+    stages: Sequence[int],
+    refit: str = "day",
+    survivors: int = 3,
+    parallel_fits: int = 4,
+) -> DataFrame:
+    """A grid search over a rolling backtest that gives up poor settings early.
+
+    Each parameter set is fitted once a period with the recipe's number of trees, and scored after
+    every number of trees in ``stages``. The first round takes few periods, spread over the calendar;
+    after each round one set in ``survivors`` goes on, and the next round has as many times more
+    periods, up to all of them, for those sets alone. A set is judged by its best stage over all
+    periods scored so far. ``survivors=1`` drops none: the full grid.
+
+    One row for each set and stage: ``parameters, trees, mean_log_rmse, races, rounds``; more rounds
+    survived first, then the lower error. The driver sees one number for each set and stage.
+    """
+    spark = matrix.sparkSession
+    recipes = _named_grid(recipe, grid)
+    dated = entries.withColumn("_period", _period(refit))
+    periods = [r[0] for r in dated.select("_period").distinct().orderBy("_period").collect()]
+    schema = "parameters string, trees int, mean_log_rmse double, races long, rounds int"
+    if not periods or not recipes:
+        return spark.createDataFrame([], schema)
+    folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+
+    def one(job: tuple[str, str]) -> None:
+        name, period = job
+        model = models.fit(before(matrix, period), recipes[name])
+        mine = dated.where(F.col("_period") == period).drop("_period")
+        scored = models.staged_scores(model, mine, stages).withColumn("parameters", F.lit(name))
+        number = list(recipes).index(name) * len(periods) + periods.index(period)
+        scored.write.mode("overwrite").parquet(f"{folder}/part={number}")
+
+    alive, done, found = list(recipes), 0, {}
+    rounds = _round_sizes(len(periods), len(alive), survivors)
+    order = _spread(periods)
+    for number, size in enumerate(rounds, 1):
+        with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+            list(pool.map(one, ((name, p) for name in alive for p in order[done:size])))
+        done = size
+        scored = spark.read.parquet(folder).drop("part").where(F.col("parameters").isin(alive))
+        errors = _staged_errors(scored, recipe).collect()
+        found.update({(r["parameters"], r["trees"]): (*r[2:], number) for r in errors})
+        best = {name: min(found[name, s][0] for name_, s in found if name_ == name) for name in alive}
+        alive = sorted(alive, key=lambda name: (best[name], name))
+        if survivors > 1:
+            alive = alive[: max(1, -(-len(alive) // survivors))]
+    rows = [(name, trees, *values) for (name, trees), values in found.items()]
+    ranked = spark.createDataFrame(rows, schema)
+    return ranked.orderBy(F.desc("rounds"), "mean_log_rmse", "parameters", "trees")
+
+
+def _staged_errors(scored: DataFrame, recipe: Recipe) -> DataFrame:
+    """Mean Log-RMSE over races of each parameter set and stage, and the number of races."""
+    # a race under one parameter set and stage is a race of its own
+    apart = scored.withColumn("race_id", F.concat_ws("|", "parameters", "trees", "race_id"))
+    errors = log_rmse(models.price(apart, recipe), race=["parameters", "trees", "race_id"])
+    return errors.groupBy("parameters", "trees").agg(
+        F.avg("log_rmse").alias("mean_log_rmse"), F.count("log_rmse").alias("races")
+    )
+
+
+def _round_sizes(periods: int, sets: int, survivors: int) -> list[int]:
+    """How many periods are scored by the end of each round: all of them in the last."""
+    if survivors < 2:
+        return [periods]
+    sizes, left = [periods], sets
+    while left > survivors and sizes[0] > 1:
+        sizes.insert(0, -(-sizes[0] // survivors))
+        left = -(-left // survivors)
+    return sorted(set(sizes))
+
+
+def _spread(periods: Sequence[str]) -> list[str]:
+    """The periods in an order whose beginnings are spread evenly: middle, quarters, eighths."""
+    order, parts = [], [list(periods)]
+    while parts:
+        following = []
+        for part in parts:
+            middle = len(part) // 2
+            order.append(part[middle])
+            following += [p for p in (part[:middle], part[middle + 1 :]) if p]
+        parts = following
+    return order
