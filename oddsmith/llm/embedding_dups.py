@@ -3,7 +3,10 @@
 Unit vectors fall into coarse lists; what is left of a vector after its list's centre is coded by
 subspace. A vector visits its own list and those that may hold a partner: of two partners in
 different cells, at most r apart, one lies within r / 2 of the plane between the cells' centres, and
-that one visits the other's list. In a list the distance to every member is looked up from the codes
+that one visits the other's list. How near to the planes partners really lie is measured: a sample of
+vectors is compared with all others, and the widest distance that any of their N partners needs, and
+half as much again, takes the place of r / 2: another pair needs more in one of N cases at most. With
+too few partners to tell r / 2 stays. In a list the distance to every member is looked up from the codes
 (asymmetric: the visitor itself is not coded) and, less the member's own coding error, is a lower
 bound; what stays below r is reranked by exact cosine. Within the visited lists no pair at or above
 the threshold is lost, and none below it passes.
@@ -32,6 +35,9 @@ COSINE = 0.9
 FITTED = 20_000
 MOST_LISTS = 1 << 14
 SUBSPACE, CODES = 4, 256
+# Classes that are compared with all others to measure how near to the planes partners lie, the least
+# number of pairs that tells, and the allowance on top.
+QUERIES, LEAST_PAIRS, ALLOWANCE = 4096, 200, 1.5
 BLOCK = 1024
 _PASSES = 8
 _SLACK = 1e-4
@@ -96,12 +102,17 @@ class Index:
             error += apart
         return codes, np.sqrt(error)
 
-    def visits(self, units: np.ndarray, at: np.ndarray, reach: np.ndarray, r: float) -> list[np.ndarray]:
-        """For each vector its own list and those beyond a near plane that may hold a partner."""
+    def visits(
+        self, units: np.ndarray, at: np.ndarray, reach: np.ndarray, r: float, width: float | None = None
+    ) -> list[np.ndarray]:
+        """For each vector its own list and those beyond a near plane that may hold a partner.
+
+        A plane is near within ``width``, by default the half of ``r``, which misses no partner.
+        """
         found = []
         squared = (self.centres**2).sum(axis=1)
         step = max(1, (1 << 22) // len(self.centres))
-        width = r / 2
+        width = r / 2 if width is None else width
         for start in range(0, len(units), step):
             part, own = units[start : start + step], at[start : start + step]
             apart = np.maximum(1 + squared - 2 * part @ self.centres.T, 0)
@@ -199,7 +210,55 @@ def _indexed(classes: DataFrame, sent, kind: str) -> DataFrame:
     )
 
 
-def _visiting(indexed: DataFrame, sent, reach, kind: str, r: float) -> DataFrame:
+def needed_width(
+    index: Index, a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray
+) -> np.ndarray:
+    """For pairs of vectors in different lists: how far the nearer one is from the plane between."""
+    ca, cb = index.centres[in_a], index.centres[in_b]
+    between = np.sqrt(((ca - cb) ** 2).sum(axis=1))
+    from_a = ((a - cb) ** 2).sum(axis=1) - ((a - ca) ** 2).sum(axis=1)
+    from_b = ((b - ca) ** 2).sum(axis=1) - ((b - cb) ** 2).sum(axis=1)
+    return np.minimum(from_a, from_b) / (2 * np.maximum(between, 1e-12))
+
+
+def measured_width(indexed: DataFrame, sent, kind: str, cosine: float, r: float) -> float:
+    """How near to a plane partners lie, from ``QUERIES`` classes against all; ``r / 2`` at most."""
+    asked = indexed.orderBy("key").limit(QUERIES).select("key", "raw", "list").toArrow()
+    queries = indexed.sparkSession.sparkContext.broadcast(
+        (asked.column("key").to_pylist(), asked.column("raw").to_pylist(), asked.column("list").to_numpy())
+    )
+
+    def compared(batches):
+        index = Index.restored(sent.value)
+        keys, raws, homes = queries.value
+        of = {key: n for n, key in enumerate(keys)}
+        points = pa.record_batch([pa.array(raws, pa.binary())], names=["raw"])
+        _, points = _units(points, 0, kind)
+        most, pairs = 0.0, 0
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.slice(start, 512)
+                _, units = _units(part, 1, kind)
+                at = part.column(2).to_numpy()
+                near = units @ points.T >= cosine
+                for k, key in enumerate(part.column(0).to_pylist()):
+                    if key in of:
+                        near[k, of[key]] = False
+                x, y = np.nonzero(near)
+                pairs += len(x)
+                apart = at[x] != homes[y]
+                x, y = x[apart], y[apart]
+                if len(x):
+                    needed = needed_width(index, units[x], at[x], points[y], homes[y])
+                    most = max(most, float(needed.max()))
+        yield pa.RecordBatch.from_arrays([pa.array([most]), pa.array([pairs])], names=["most", "pairs"])
+
+    found = indexed.select("key", "raw", "list").mapInArrow(compared, "most double, pairs long")
+    most, pairs = found.agg(F.max("most"), F.sum("pairs")).first()
+    return r / 2 if (pairs or 0) < LEAST_PAIRS else min(r / 2, most * ALLOWANCE)
+
+
+def _visiting(indexed: DataFrame, sent, reach, kind: str, r: float, width: float) -> DataFrame:
     """``indexed`` with ``visits``, the lists that each class visits."""
 
     def rows(batches):
@@ -208,7 +267,7 @@ def _visiting(indexed: DataFrame, sent, reach, kind: str, r: float) -> DataFrame
             if not len(batch):
                 continue
             _, units = _units(batch, 2, kind)
-            visits = index.visits(units, batch.column(3).to_numpy(), reach.value, r)
+            visits = index.visits(units, batch.column(3).to_numpy(), reach.value, r, width)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(visits, pa.list_(pa.int32()))],
                 names=[*batch.schema.names, "visits"],
@@ -255,8 +314,12 @@ def compare(group: pa.Table, index: Index, kind: str, cosine: float, r: float):
     rank = np.array([distinct[k] for k in keys])
     visits = rows.column(10).to_pylist()
     once = np.where(home[left] == at, rank[left] < rank[right], True)
-    for k in np.flatnonzero(home[left] > at):
-        once[k] = int(home[left[k]]) not in visits[right[k]]
+    back = np.flatnonzero(home[left] > at)
+    if len(back):
+        lists = int(home.max()) + 1
+        seen = [len(v or []) for v in visits]
+        pairs = np.repeat(np.arange(len(seen)), seen) * lists + np.array([x for v in visits for x in v or []], np.int64)
+        once[back] = ~np.isin(right[back] * lists + home[left[back]], pairs)
     left, right = left[once], right[once]
     counts = np.bincount(left, copies[right], len(keys)) + np.bincount(right, copies[left], len(keys))
     counted = [(keys[k], int(counts[k])) for k in np.flatnonzero(counts)]
@@ -293,7 +356,8 @@ def _links(classes: DataFrame, kind: str, cosine: float) -> DataFrame:
     for row in per_list.toLocalIterator():  # one row a list
         reach[row["list"]] = row["reach"]
     reaches = spark.sparkContext.broadcast(reach)
-    visiting = landed(_visiting(indexed, sent, reaches, kind, r), "vectors-visits")
+    width = measured_width(indexed, sent, kind, cosine, r)
+    visiting = landed(_visiting(indexed, sent, reaches, kind, r, width), "vectors-visits")
     visitors = visiting.select("key", "copies", "raw", F.col("list").alias("home"), F.explode("visits").alias("list"))
     visited = visitors.groupBy("list").agg(F.count("*").alias("visitors"))
     blocks = landed(

@@ -92,3 +92,29 @@ def test_partners_of_low_intrinsic_dimension_meet(width, own):
     pairs = np.argwhere(np.triu(units @ units.T >= 0.9, 1))
     assert len(pairs) >= len(made)
     assert all(at[b] in visits[a] or at[a] in visits[b] for a, b in pairs.tolist())
+
+
+@pytest.mark.parametrize("least", [embedding_dups.LEAST_PAIRS, 10**9])
+def test_recall_of_planted_partners_by_a_measured_width(spark, monkeypatch, least):
+    """The width comes from 300 of 3,000 vectors; the links of all are counted."""
+    monkeypatch.setattr(embedding_dups, "QUERIES", 300)
+    monkeypatch.setattr(embedding_dups, "LEAST_PAIRS", least)
+    widths = []
+    measured = embedding_dups.measured_width
+    monkeypatch.setattr(embedding_dups, "measured_width", lambda *a: widths.append(measured(*a)) or widths[-1])
+    random = np.random.default_rng(11)
+    made = random.normal(size=(1000, 64))
+    made = np.concatenate([made + random.normal(size=made.shape) * 0.25 for _ in range(3)])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(made.astype(np.float32))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    units = np.array([v for _, v in rows])
+    units /= np.sqrt((units**2).sum(axis=1, keepdims=True))
+    want = (units @ units.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dups.near_vectors(frame).collect()}
+    found = np.array([got[k] for k in range(len(rows))])
+    assert (found <= want).all() and want.sum() > 2000
+    half = float(np.sqrt(2 - 2 * 0.9)) / 2
+    if least == 10**9:
+        assert widths == [half] and (found == want).all()
+    else:
+        assert widths[0] < half and found.sum() >= 0.99 * want.sum()
