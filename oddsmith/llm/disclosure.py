@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm._shared import bit_mask, join_groups, landed
+from oddsmith.llm._shared import grouped_mask, join_groups, landed
 from oddsmith.llm._words import WordReader, Words, texts_of
 
 # Without ``whole``: words on each side of an entity that may reveal it, the least bytes of such a
@@ -222,7 +222,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text: str = "text") -> Dat
     """
     size = 1 << MASK_BITS
     bits = terms.select(F.expr(f"cast(term & {size - 1}L as int)").alias("bit"))
-    sent = docs.sparkSession.sparkContext.broadcast(bit_mask(bits, size))
+    sent = docs.sparkSession.sparkContext.broadcast(grouped_mask(bits, size))
 
     def counted(batches):
         reader, wanted, held = WordReader(), np.unpackbits(sent.value).astype(bool), []
@@ -290,7 +290,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
     )
     listed = landed(listed, "pii-listed")
     named = landed(listed.select("row", F.explode("entities").alias("entity")), "pii-named")
-    known = landed(named.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-known")
+    # entities of the same documents say the same of every term: one of them is enough
+    rows_of = [F.bit_xor(F.xxhash64(F.lit(seed), "row")).alias(f"rows_{seed}") for seed in (1, 2)]
+    known = named.groupBy("entity").agg(F.count("*").alias("n_entity"), *rows_of)
+    alike = known.groupBy("n_entity", "rows_1", "rows_2").agg(F.min("entity").alias("entity"))
+    known = landed(alike.select("entity", "n_entity"), "pii-known")
     words = landed(listed.select("row", F.explode("terms").alias("term")), "pii-words")
     counted = landed(term_documents(docs, words.select("term").distinct(), text), "pii-counted")
     own = F.log2(F.lit(documents) / F.col("n_entity"))
@@ -314,7 +318,7 @@ def _all_term_spans(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -
     terms = landed(disclosing_terms(docs, found, text), "pii-disclosing")
     size = 1 << MASK_BITS
     bits = terms.select(F.expr(f"cast(term & {size - 1}L as int)").alias("bit"))
-    sent = docs.sparkSession.sparkContext.broadcast(bit_mask(bits, size))
+    sent = docs.sparkSession.sparkContext.broadcast(grouped_mask(bits, size))
 
     def places(batches):
         reader, contexts, wanted = WordReader(), _Contexts(), np.unpackbits(sent.value).astype(bool)
@@ -326,20 +330,29 @@ def _all_term_spans(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -
                     value = batch.column(1)[words.first + row].as_py()
                     term, start, end = contexts.all(value, base_spans(value))
                     kept = wanted[term & (size - 1)]
-                    found.append((term[kept], start[kept].astype(np.int32), end[kept].astype(np.int32)))
-                    keys += [batch.column(0)[words.first + row].as_py()] * int(kept.sum())
+                    if kept.any():
+                        found.append((term[kept], start[kept].astype(np.int32), end[kept].astype(np.int32)))
+                        keys.append(batch.column(0)[words.first + row].as_py())
                 if keys:
-                    columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                    cuts = np.cumsum([0, *(len(term) for term, _, _ in found)]).astype(np.int32)
+                    lists = [
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(c)))
+                        for c in zip(*found, strict=True)
+                    ]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.binary()), *columns], names=["key", "term", "start", "end"]
+                        [pa.array(keys, pa.binary()), *lists], names=["key", "term", "start", "end"]
                     )
 
     keyed = _keyed(docs, text, doc_id).select("key", "text")
-    hits = landed(keyed.mapInArrow(places, "key binary, term long, start int, end int"), "pii-places")
-    each = join_groups(hits, terms, "term", "n_term").filter("action is not null")
-    each = each.select("key", "start", "end", F.col("action").alias("kind")).distinct()
-    spans = F.sort_array(F.collect_list(F.struct("kind", "start", "end")))
-    return landed(each.groupBy("key").agg(spans.alias("terms")), "pii-terms")
+    packed = keyed.mapInArrow(places, "key binary, term array<long>, start array<int>, end array<int>")
+    hits = landed(packed.withColumn("row", F.monotonically_increasing_id()), "pii-places")
+    # a repeated row has the same places, so one of them is enough
+    once = hits.groupBy("key").agg(F.min("row").alias("row"))
+    single = hits.select("row", F.inline(F.arrays_zip("term", "start", "end")))
+    each = join_groups(single, terms, "term", "n_term").filter("action is not null")
+    spans = F.sort_array(F.collect_list(F.struct(F.col("action").alias("kind"), "start", "end")))
+    changed = each.groupBy("row").agg(spans.alias("terms"))
+    return landed(once.join(changed, "row").select("key", "terms"), "pii-terms")
 
 
 def _term_spans(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:

@@ -1,8 +1,12 @@
+import math
 import random
 import re
 from hashlib import sha256
 
+import numpy as np
+
 from oddsmith.llm import disclosure
+from oddsmith.llm._shared import bit_mask, grouped_mask
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -148,3 +152,39 @@ def test_whole_documents_against_plain_shares(spark):
             at += len(word) + 1
         terms = ",".join(f"{a}:{b}:{c}" for a, b, c in sorted(want))
         assert found[k] == ",".join(filter(None, [plain(text), terms]))
+
+
+def test_masks_united_by_words(spark):
+    bits = [0, 1, 7, 8, 63, 64, 100, 4095, 100]
+    df = spark.createDataFrame([(b,) for b in bits], "bit int").repartition(3)
+    mask = np.unpackbits(grouped_mask(df, 4096)).astype(bool)
+    assert sorted(set(bits)) == np.flatnonzero(mask).tolist()
+    assert (grouped_mask(df, 4096) == bit_mask(df, 4096)).all()
+
+
+def test_one_text_of_many_addresses_and_words(spark, monkeypatch):
+    """Addresses of the same documents count once, so their terms are not paired with each of them."""
+    many = " ".join(f"a{k}@b{k}.example.com word{k}" for k in range(5000))
+    other = " ".join(f"word{k} a7@b7.example.com" for k in range(0, 50, 2))
+    rows = [(1, many), (2, other), (3, "word1 word2 plain"), *((k, f"text {k} here") for k in range(4, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = disclosure.landed(disclosure.entities(docs, whole=True), "test-entities")
+    got = {r["term"]: (r["n_term"], r["action"]) for r in disclosure.disclosing_terms(docs, found).collect()}
+    entities = {f"a{k}@b{k}.example.com": {1, 2} if k == 7 else {1} for k in range(5000)}
+    words = {f"word{k}": {1} for k in range(5000)}
+    for k in range(0, 50, 2):
+        words[f"word{k}"].add(2)
+    for k in (1, 2):
+        words[f"word{k}"].add(3)
+    strengths = {}
+    for documents in {frozenset(v) for v in entities.values()}:
+        own = math.log2(len(rows) / len(documents))
+        for word, places in words.items():
+            both = len(documents & places)
+            if both:
+                share = math.log2(len(rows) * both / (len(places) * len(documents))) / own
+                strengths[word] = max(strengths.get(word, 0), share)
+    want = sorted(
+        (len(words[w]), "removed" if s >= 0.9 else "general") for w, s in strengths.items() if s >= 0.7
+    )
+    assert sorted(got.values()) == want
