@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm._shared import TEXT_ROWS, by_frequency, landed
+from oddsmith.llm._shared import TEXT_ROWS, by_frequency, landed, shuffles_dropped
 from oddsmith.llm._words import Words, WordReader, mixed
 
 # Words in classes of their own, the end of a text, and shared classes.
@@ -26,12 +26,14 @@ END = ALONE
 END_HASH = np.uint64(0x0E0D0F0A11B0A7ED)
 PAIR_SLOTS = 2048
 ROUNDS = 15
+# Tasks that add up the gradients of a round.
+GRADIENT_TASKS = 4
 STEP, SMOOTH, PRIOR = 0.35, 4.0, 0.5
 ADDED = 0.1
 # Words whose counts are broadcast, at most; the others are joined.
 FREQUENT = 1 << 18
 # Distinct words that a task holds before it hands its counts on.
-HELD = 1 << 20
+HELD = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -186,11 +188,23 @@ def context_counts(docs: DataFrame, alone: np.ndarray) -> DataFrame:
 def train(counts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weight rows fitted to the context counts, a table spread over tasks.
 
-    Each round sends the weights out and adds up the tasks' gradients, whose size is that of the
-    weights. A step divides the gradient by the expected count, the diagonal of the curvature. The
+    Each round sends the weights out; the tasks' gradients are added up by weight row in Spark, so the
+    driver gets one row each, whatever the number of tasks. A step divides the gradient by the expected count, the diagonal of the curvature. The
     biases start at the classes' shares.
     """
     spark = counts.sparkSession
+
+    def added(batches):
+        sums = {}
+        for batch in batches:
+            for row, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(part, "<f4")
+                sums[row] = sums[row] + part if row in sums else part
+        parts = [s.astype("<f4").tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array(parts, pa.binary())], names=["row", "sums"]
+        )
+
     weights = Weights().rows
     shares = np.ones(CLASSES)
     for token, n in counts.groupBy(F.col("cell") % CLASSES).agg(F.sum("n")).collect():
@@ -211,7 +225,10 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             )
 
         total = np.zeros((len(weights), 2, CLASSES))
-        for row, sums in counts.mapInArrow(gradients, "row long, sums binary").collect():
+        touched = counts.mapInArrow(gradients, "row long, sums binary")
+        with shuffles_dropped(spark):
+            summed = touched.repartition(GRADIENT_TASKS, "row").mapInArrow(added, touched.schema).toArrow()
+        for row, sums in zip(summed["row"].to_pylist(), summed["sums"].to_pylist(), strict=True):
             total[row] += np.frombuffer(sums, "<f4").reshape(2, CLASSES)
         step = (total[:, 0] - PRIOR * weights) / (total[:, 1] + SMOOTH)
         weights += STEP * np.clip(step, -2, 2)
