@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddsmith.settings import Course, HistoryWindow
-from oddsmith.sources.results import by_race, on_course, runners
+from oddsmith.sources.results import on_course, runners, write_by_race
 from oddsmith.workspace import fingerprint, is_complete, shared_dir, stored
 
 # The dates that split the given data as the real ones split theirs.
@@ -212,7 +212,7 @@ def landed(spark: SparkSession, sf_dir: str) -> str:
         race = stored(_race(lineitem, orders), f"{folder}/race")
         horse = stored(_named(part, "p_partkey", "H"), f"{folder}/horse")
         jockey = stored(_named(supplier, "s_suppkey", "J"), f"{folder}/jockey")
-        stored(by_race(runners(race, horse, jockey)), f"{folder}/runners")
+        write_by_race(runners(race, horse, jockey), f"{folder}/runners")
     return folder
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.workspace import shared_dir, stored
@@ -20,6 +20,10 @@ HOT_ROWS = 1_000_000
 # Lists of up to this many keys are broadcast.
 MAX_LISTED_ROWS = 500_000
 
+# Lists of up to this many keys are also handed to the scan, as lists of at most as many values
+# as Spark passes on to the files.
+SCANNED_KEYS, KEYS_A_LIST = 100, 10
+
 _ROW_ID = ("race_id", "horse_number")
 _SPREAD = 1 << 20
 
@@ -85,10 +89,24 @@ def join_by_key(
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
+def among(key: Column, values: list) -> Column:
+    """Whether ``key`` is one of ``values``, in lists short enough to be passed on to the files."""
+    known = sorted(v for v in values if v is not None)
+    lists = [known[at : at + KEYS_A_LIST] for at in range(0, len(known), KEYS_A_LIST)]
+    return reduce(lambda a, b: a | b, [key.isin(part) for part in lists], F.lit(False))
+
+
 def keep_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``listed``: by a broadcast list if it is short, else by a join."""
+    """Rows whose key occurs in ``listed``: by a broadcast list if it is short, else by a join.
+
+    Very short lists also become filters of the scan, so that a table with Bloom filters on the key
+    (see ``write_by_race``) reads only the row groups that may hold one of them.
+    """
     keys = listed.select(key).distinct()
-    if listed.count() <= MAX_LISTED_ROWS:
+    total = listed.count()
+    if total <= SCANNED_KEYS:
+        rows = rows.where(among(F.col(key), [r[0] for r in keys.collect()]))
+    if total <= MAX_LISTED_ROWS:
         return rows.join(F.broadcast(keys), key, "left_semi")
     return join_by_key(rows, keys, [key], "left_semi")
 

@@ -75,6 +75,20 @@ def by_race(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
 
 
+def write_by_race(rows: DataFrame, path: str, races: int = 100_000, **options: str) -> DataFrame:
+    """``rows`` stored at ``path`` as ``by_race`` lays them out, with Bloom filters on the race id.
+
+    Race ids need not follow the dates, so the least and greatest id of a row group say little; the
+    filter of a row group, sized for ``races`` different ids, tells whether it may hold one.
+    ``options`` are passed on to the Parquet writer.
+    """
+    writer = by_race(rows).write.mode("overwrite").options(**options)
+    writer.option("parquet.bloom.filter.enabled#race_id", "true").option(
+        "parquet.bloom.filter.expected.ndv#race_id", str(races)
+    ).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def history_of(rows: DataFrame) -> DataFrame:
     """The history all features are built from: priced runners, history columns."""
     return priced(rows).select(*HISTORY_COLUMNS)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,39 @@ def test_point_in_time_equals_snapshot_of_earlier_rows(make_history, hot):
                     assert got == pytest.approx(want), (date, name)
 
 
+@pytest.mark.parametrize("length", [1, 7, 30, 365])
+def test_nearest_speed_of_a_sliding_span(make_history, length):
+    """Two running minima per row equal a look at all days of the span, at every offset."""
+    rows = random_history(make_history, 5, n=120, hot=True).where("surface = '芝'")
+    asked = rows.select("race_id", "horse_number", "horse_name", "date_text")
+    found = asof.asof_horse_features(rows, asked, window=HistoryWindow(recent_days=length))
+    starts = rows.select(
+        "horse_name",
+        race_day(F.col("date_text")).alias("day"),
+        F.abs(F.col("distance") - 1200).alias("off"),
+        history.start_speed().alias("speed"),
+    ).collect()
+    for row in found.withColumn("day", race_day(F.col("date_text"))).collect():
+        span = [
+            (s.off, s.speed is not None, -(s.speed or 0.0))
+            for s in starts
+            if s.horse_name == row.horse_name and row.day - length <= s.day < row.day
+        ]
+        nearest = min(span, default=None)
+        want = -nearest[2] if nearest and nearest[1] else None
+        assert row.horse_recent_max_speed == (pytest.approx(want) if want is not None else None)
+
+
+def test_no_frame_slides(make_history):
+    """Every frame starts at the first row, so that a day costs the same however long the span."""
+    rows = random_history(make_history, 6, n=20)
+    asked = rows.select("race_id", "horse_number", "horse_name", "date_text")
+    plan = asof.asof_horse_features(rows, asked)._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+),", plan)
+    assert frames
+    assert all(low == "unboundedpreceding$()" or kind == "RowFrame" for kind, low in frames)
+
+
 def test_point_in_time_jockey_and_combo(make_history):
     rows = random_history(make_history, 3)
     window = HistoryWindow(min_rides=2, jockey_days=200)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from oddsmith.operators import joins
 from oddsmith.schema import WEIGHTS
 from oddsmith.settings import Course, HistoryWindow
 from oddsmith.sources import entries, results
@@ -131,3 +132,35 @@ def test_bad_number_fails(spark):
     lines = spark.createDataFrame([("x,A,牡4,57.0,J",)], "value string")
     with pytest.raises(Exception):
         entries.parse_entries(lines).collect()
+
+
+def scanned(df):
+    """Rows that the scan of a filtered table hands on, after skipping row groups."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    leaves = execution.executedPlan().collectLeaves()
+    return sum(leaves.apply(n).metrics().apply("numOutputRows").value() for n in range(leaves.size()))
+
+
+def test_race_ids_skip_row_groups(spark, tmp_path):
+    """Ids dealt over all dates: only the filters in the files can tell where a race lies."""
+    races = spark.range(60_000).select(
+        F.concat(F.lit("R"), F.sha2((F.col("id") % 20_000).cast("string"), 256)).alias("race_id"),
+        F.date_format(F.expr("date_add('2020-01-01', cast(id % 20000 / 20 as int))"), "yyyy/MM/dd").alias("date_text"),
+        F.floor(F.col("id") / 20_000).cast("int").alias("horse_number"),
+    )
+    small = {"parquet.block.size": "16384", "parquet.enable.dictionary": "false"}
+    rows = results.write_by_race(races, str(tmp_path / "races"), races=500, **small)
+    wanted = [r.race_id for r in races.where("horse_number = 0 AND id % 4000 = 7").collect()]
+    assert len(wanted) == 5
+    some = rows.where(joins.among(F.col("race_id"), wanted))
+    assert sorted(r.race_id for r in some.collect()) == sorted(wanted * 3)
+    assert scanned(some) < 60_000 / 10
+    listed = spark.createDataFrame([(w,) for w in [*wanted, None, "unknown"]], "race_id string")
+    assert joins.keep_listed(rows, listed, "race_id").count() == 15
+
+
+def test_long_lists_of_races(spark):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("race_id"))
+    for n in (0, 1, joins.KEYS_A_LIST + 1, joins.SCANNED_KEYS, joins.SCANNED_KEYS + 1):
+        assert joins.keep_listed(rows, rows.limit(n), "race_id").count() == n
