@@ -32,6 +32,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        free.append(name)
+    return free
+
+
 @contextmanager
 def _settings(spark: SparkSession, changed: dict[str, str]):
     before = {key: spark.conf.get(key) for key in changed}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm._links import components
-from oddsmith.llm._shared import TEXT_ROWS, bit_mask, join_groups, landed
+from oddsmith.llm._shared import TEXT_ROWS, bit_mask, free_names, join_groups, landed
 from oddsmith.llm._words import Words, WordReader, mixed
 
 WORDS, SIMILARITY = 5, 0.8
@@ -441,7 +441,8 @@ def keep_one(
     """
     report = near_duplicates(docs, words, percent)
     gone = report.filter(~F.col("kept") & F.col("component_id").isNotNull())
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
+    of_id, of_text = free_names(docs, "gone_id", "gone_text")
+    gone = gone.select(F.col("doc_id").alias(of_id), F.col("content").alias(of_text)).distinct()
     content = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (content == F.col("__content"))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (content == F.col(of_text))
     return docs.join(landed(gone, "near-gone"), same, "left_anti")

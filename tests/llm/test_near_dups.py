@@ -158,3 +158,11 @@ def test_components(spark, seed):
     assert {r["node"]: r["component"] for r in found} == {x: top(x) for x in linked}
     assert len(found) == len(linked)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_columns_named_like_the_working_ones(odd):
+    clash = odd.selectExpr("*", "1 gone_id", "2 gone_text", "3 _gone_id")
+    found = near_dups.keep_one(clash)
+    assert found.columns == clash.columns
+    want = near_dups.keep_one(odd).collect()
+    assert sorted(map(str, found.select(*odd.columns).collect())) == sorted(map(str, want))
