@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, by a digest index of this run."""
     index = exact_dedup.DigestIndex.open(spark, fresh_path(spark, "pipeline-digests"))
-    return exact_dedup.deduplicate(docs, index)
+    return exact_dedup.deduplicate(docs, index, "pipeline")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
