@@ -2,11 +2,19 @@
 
 Words fall into classes: the most frequent ones stand alone, the others share a class by a hash of
 their last two bytes. A word's probability is that of its class after the two words before it, times
-that of the word within its class. The first factor is a softmax over hashed features: the previous
-word's class (n-gram), the one before (skip), and both together (n-gram). Training counts how often
-each class follows each context over all training texts; these counts, of fixed number, are spread
-over tasks, and every round adds up their gradients. The second factor and the unigram baseline use
-exact counts of all words.
+that of the word within its class. Both factors are trained:
+
+* The class is a softmax over hashed features: the previous word's class (n-gram), the one before
+  (skip), and both together (n-gram). Training counts how often each class follows each context over
+  all training texts; every round adds up the gradients of all tasks.
+* The word is a softmax over the words of its class. Its bias is the logarithm of its smoothed count,
+  its feature the pair of previous word (by hash) and word. Pairs are counted over all training
+  texts, so their table grows with the corpus; those seen ``LEAST_PAIRS`` times get a weight. A
+  context's words of one class are normalised together and by themselves, so they are fitted in one
+  place, and the sum below the fraction needs only the words that have a weight. Words beyond the
+  ``FREQUENT`` ones have no weights; their share of the class and their counts decide.
+
+The unigram baseline uses exact counts of all words.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm._shared import TEXT_ROWS, by_frequency, landed, shuffles_dropped
+from oddsmith.llm._shared import TEXT_ROWS, by_frequency, landed, repeated_mask, shuffles_dropped
 from oddsmith.llm._words import Words, WordReader, mixed
 
 # Words in classes of their own, the end of a text, and shared classes.
@@ -34,6 +42,13 @@ ADDED = 0.1
 FREQUENT = 1 << 18
 # Distinct words that a task holds before it hands its counts on.
 HELD = 1 << 17
+# A pair's key: 39 bits of the previous word's hash, 6 of the word's class, 18 of its place in it.
+PLACE_BITS = 18
+CONTEXT_SHIFT = 25
+# Occurrences of a pair that earn it a weight, the weights' prior, and the rounds that fit them.
+LEAST_PAIRS, PAIR_PRIOR, PAIR_ROUNDS = 2, 0.25, 25
+# Pairs that a task holds before it works on them.
+PAIRS_HELD = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -236,6 +251,189 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
+class Vocabulary:
+    """The frequent words: hashes in order, counts, and the code (class and place) of each.
+
+    ``code`` is negative where the class has one word only, so that nothing is left to predict.
+    ``mass`` is a word's share of the frequent words of its class, by ``first[class] + place``.
+    """
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, shared: np.ndarray, alone: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.n, shared = hashes[order], n[order], shared[order].astype(np.int64)
+        inside = ~np.isin(self.hashes, np.append(alone, END_HASH).view(np.int64))
+        self.code = np.full(len(self.hashes), -1, np.int64)
+        sizes = np.bincount(shared[inside], minlength=SHARED)
+        self.first = np.cumsum(sizes) - sizes
+        by_class = np.flatnonzero(inside)[np.argsort(shared[inside], kind="stable")]
+        own = shared[by_class]
+        self.code[by_class] = (own << PLACE_BITS) + np.arange(len(own)) - self.first[own]
+        smooth = self.n[by_class] + ADDED
+        self.mass = smooth / np.bincount(own, smooth, SHARED)[own]
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word among the hashes, and whether it is there."""
+        hashed = words.hash.view(np.int64)
+        if not len(self.hashes):
+            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashed
+
+    def pairs(self, words: Words, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs that can have a weight, and the number of each one's word."""
+        before = np.full(len(words.hash), END_HASH)
+        same = words.row[1:] == words.row[:-1]
+        before[1:][same] = words.hash[:-1][same]
+        here = np.flatnonzero(found)
+        here = here[self.code[at[here]] >= 0]
+        context = (before[here] >> np.uint64(CONTEXT_SHIFT)).astype(np.int64)
+        return (context << (PLACE_BITS + 6)) | self.code[at[here]], here
+
+    def masses(self, key: np.ndarray) -> np.ndarray:
+        return self.mass[self.first[(key >> PLACE_BITS) % SHARED] + (key & ((1 << PLACE_BITS) - 1))]
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``n`` over equal keys, which stand together."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def fit_pairs(key: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Keys, weights and logarithms of the normalisers of whole contexts, given sorted counts.
+
+    Within a context and class, a word has the probability ``mass * exp(weight) / z``, where ``z`` is 1
+    plus the sum of ``mass * (exp(weight) - 1)`` over the words with a weight. Each round moves every
+    weight along its gradient, divided by a bound of the curvature.
+    """
+    group = key >> PLACE_BITS
+    number = np.cumsum(np.append(False, group[1:] != group[:-1])[: len(key)])
+    total = np.bincount(number, n)
+    kept = n >= LEAST_PAIRS
+    key, n, number = key[kept], n[kept], number[kept]
+    mass, weight = vocabulary.masses(key), np.zeros(len(key))
+    for done in range(PAIR_ROUNDS + 1):
+        raised = mass * np.exp(weight)
+        z = 1 + np.bincount(number, raised - mass, len(total))
+        if done < PAIR_ROUNDS:
+            expected = total[number] * raised / z[number]
+            slope = n - expected - PAIR_PRIOR * weight
+            weight += np.clip(slope / (np.maximum(n, expected) + PAIR_PRIOR), -1, 1)
+    return key, weight, np.log(z)[number]
+
+
+def pair_weights(docs: DataFrame, vocabulary) -> DataFrame:
+    """``key, group, weight, z`` of every pair of words in ``text`` that earned a weight.
+
+    Counts go to their context and class, sorted, and are fitted there as they stream by; a task holds
+    one context's words of one class, of the frequent words, and a bounded buffer. ``vocabulary`` is
+    a broadcast ``Vocabulary``.
+    """
+
+    def counted(batches):
+        reader, parts, held = WordReader(), [], 0
+
+        def handed_on():
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            for words in reader.read(batch, 0):
+                parts.append(vocabulary.value.pairs(words, *vocabulary.value.find(words))[0])
+                held += len(parts[-1])
+                if held >= PAIRS_HELD:
+                    yield handed_on()
+                    parts, held = [], 0
+        if held:
+            yield handed_on()
+
+    def fitted(batches):
+        keys, counts, held, least = [], [], 0, PAIRS_HELD
+
+        def rows(key, n):
+            key, weight, z = fit_pairs(key, n, vocabulary.value)
+            group = mixed((key >> PLACE_BITS).view(np.uint64)).view(np.int64)
+            columns = [key, group, weight.astype(np.float32), z.astype(np.float32)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], names=["key", "group", "weight", "z"]
+            )
+
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            counts.append(batch.column(1).to_numpy())
+            held += len(batch)
+            if held < least:
+                continue
+            key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            cut = np.searchsorted(key, key[-1] >> PLACE_BITS << PLACE_BITS)
+            if cut:
+                yield rows(key[:cut], n[:cut])
+            keys, counts, held = [key[cut:]], [n[cut:]], len(key) - cut
+            least = held + PAIRS_HELD
+        if held:
+            yield rows(*_summed(np.concatenate(keys), np.concatenate(counts)))
+
+    counts = docs.select("text").mapInArrow(counted, "key long, n long")
+    together = counts.repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key")
+    return together.mapInArrow(fitted, "key long, group long, weight float, z float")
+
+
+def pair_scores(tokens: DataFrame, weights: DataFrame) -> DataFrame:
+    """``row, lift``: what the pairs' weights add to the natural log probability of each row.
+
+    ``tokens`` holds ``row`` and ``key``. A context's weights come before its tokens, so a task holds
+    those of one context and class at a time.
+    """
+    no = F.lit(None).cast("float")
+    given = weights.select("key", F.lit(-1).cast("long").alias("row"), "weight", "z")
+    both = given.unionByName(tokens.select("key", "row", no.alias("weight"), no.alias("z")))
+    group = F.shiftright("key", PLACE_BITS)
+
+    def lifted(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        rows, lifts, waiting = [], [], 0
+
+        def handed_on():
+            row, back = np.unique(np.concatenate(rows), return_inverse=True)
+            lift = np.bincount(back, np.concatenate(lifts))
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(lift)], names=["row", "lift"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = row < 0
+            fresh = [key[new]] + [
+                batch.column(c).to_numpy(zero_copy_only=False)[new].astype(float) for c in (2, 3)
+            ]
+            held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            order = np.argsort(held[0], kind="stable")
+            known, weight, z = (x[order] for x in held)
+            key, row = key[~new], row[~new]
+            if len(known) and len(key):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                own = np.where(known[at] == key, weight[at], 0.0)
+                start = np.searchsorted(known, key >> PLACE_BITS << PLACE_BITS)
+                start = np.minimum(start, len(known) - 1)
+                same = known[start] >> PLACE_BITS == key >> PLACE_BITS
+                rows.append(row[same])
+                lifts.append(own[same] - z[start[same]])
+                waiting += len(rows[-1])
+                if waiting >= PAIRS_HELD:
+                    yield handed_on()
+                    rows, lifts, waiting = [], [], 0
+            last = batch.column(0)[len(batch) - 1].as_py() >> PLACE_BITS
+            stays = known >> PLACE_BITS == last
+            held = [known[stays], weight[stays], z[stays]]
+        if waiting:
+            yield handed_on()
+
+    return both.repartition(group).sortWithinPartitions(group, "row").mapInArrow(
+        lifted, "row long, lift double"
+    )
+
+
+
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS):
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
@@ -266,26 +464,28 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: i
     table = np.log10(class_probabilities(weights, np.arange(CLASSES**2)))
     table -= np.log10(class_n + ADDED * (class_v + 1))
     often, seldom = by_frequency(words, "n", FREQUENT)
-    known = often.select("hash", "n").toPandas().sort_values("hash")
-    sent = spark.sparkContext.broadcast(
-        (alone, table.astype(np.float32), known["hash"].to_numpy(), known["n"].to_numpy())
-    )
+    known = often.select("hash", "n", "shared").toArrow()
+    frequent = (known[name].to_numpy() for name in ("hash", "n", "shared"))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(*frequent, alone))
+    pairs = landed(pair_weights(learnt, vocabulary), "lm-pairs", TEXT_ROWS)
+    mask = repeated_mask(pairs.select("group").distinct(), "group")
+    sent = spark.sparkContext.broadcast((alone, table.astype(np.float32), mask))
     end_n = float(class_n[END])
 
     def scored(batches):
-        alone, table, hashes, n = sent.value
+        alone, table, mask = sent.value
+        frequent = vocabulary.value
         reader, classes = WordReader(), ClassReader(alone)
-        logs = np.log10(n + ADDED)
+        logs = np.log10(frequent.n + ADDED)
         for batch in batches:
             columns = [np.zeros(len(batch)) for _ in range(4)]
-            rare = []
+            rare, keys = [], []
             for words in reader.read(batch, 2):
                 rows = slice(words.first, words.last)
                 row, context, token = classes.tokens(words)
                 model = np.bincount(row, table[context, token].astype(np.float64), words.rows)
                 hashed = words.hash.view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, hashed), max(len(hashes) - 1, 0))
-                found = hashes[at] == hashed if len(hashes) else np.zeros(len(hashed), bool)
+                at, found = frequent.find(words)
                 base = np.bincount(words.row[found], logs[at[found]], words.rows)
                 columns[0][rows] = words.counts() + 1
                 columns[1][rows] = np.bincount(words.row[found], minlength=words.rows) + (end_n > 0)
@@ -294,6 +494,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: i
                 cuts = np.searchsorted(words.row[~found], np.arange(words.rows + 1))
                 values = pa.array(hashed[~found])
                 rare.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values))
+                key, here = frequent.pairs(words, at, found)
+                bit = mixed((key >> PLACE_BITS).view(np.uint64)) & np.uint64(8 * len(mask) - 1)
+                set_ = mask[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)
+                own = (set_ & 1).astype(bool)
+                cuts = np.searchsorted(words.row[here[own]], np.arange(words.rows + 1))
+                keys.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(key[own])))
             if not len(batch):
                 continue
             yield pa.RecordBatch.from_arrays(
@@ -305,27 +511,30 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: i
                     pa.array(columns[2]),
                     pa.array(columns[3]),
                     pa.concat_arrays(rare),
+                    pa.concat_arrays(keys),
                 ],
-                names=["doc_id", "held_out", "tokens", "known", "base", "model", "rare"],
+                names=["doc_id", "held_out", "tokens", "known", "base", "model", "rare", "pairs"],
             )
 
     first = landed(
         plain.mapInArrow(
             scored,
             "doc_id long, held_out boolean, tokens long, known long, base double, model double,"
-            "rare array<long>",
+            "rare array<long>, pairs array<long>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "lm-frequent",
         TEXT_ROWS,
     )
-    rest = (
+    uncommon = (
         first.select("row", F.explode("rare").alias("hash"))
         .join(seldom.select("hash", "n"), "hash", "left")
+        .select("row", F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED)).alias("rest"), "n")
+    )
+    lifts = pair_scores(first.select("row", F.explode("pairs").alias("key")), pairs)
+    rest = (
+        uncommon.unionByName(lifts, allowMissingColumns=True)
         .groupBy("row")
-        .agg(
-            F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("rest"),
-            F.count("n").alias("more"),
-        )
+        .agg(F.sum("rest").alias("rest"), F.count("n").alias("more"), F.sum("lift").alias("lift"))
     )
     logs = F.col("base") + F.coalesce("rest", F.lit(0.0))
     denominator = float(np.log10(total + ADDED * (distinct + 1)))
@@ -336,5 +545,5 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: i
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (logs - F.col("tokens") * F.lit(denominator)).alias("base_score"),
-        (logs + F.col("model")).alias("score"),
+        (logs + F.col("model") + F.coalesce("lift", F.lit(0.0)) / F.lit(float(np.log(10)))).alias("score"),
     )
