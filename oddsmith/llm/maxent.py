@@ -46,7 +46,7 @@ HELD = 1 << 17
 PLACE_BITS = 18
 CONTEXT_SHIFT = 25
 # Occurrences of a pair that earn it a weight, the weights' prior, and the rounds that fit them.
-LEAST_PAIRS, PAIR_PRIOR, PAIR_ROUNDS = 2, 0.25, 25
+LEAST_PAIRS, PAIR_PRIOR, PAIR_ROUNDS = 2, 0.25, 20
 # Pairs that a task holds before it works on them.
 PAIRS_HELD = 1 << 18
 
@@ -303,8 +303,9 @@ def fit_pairs(key: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[n
     """Keys, weights and logarithms of the normalisers of whole contexts, given sorted counts.
 
     Within a context and class, a word has the probability ``mass * exp(weight) / z``, where ``z`` is 1
-    plus the sum of ``mass * (exp(weight) - 1)`` over the words with a weight. Each round moves every
-    weight along its gradient, divided by a bound of the curvature.
+    plus the sum of ``mass * (exp(weight) - 1)`` over the words with a weight. Each round moves the
+    weights by the inverse curvature times their gradient. The curvature is a diagonal less the product
+    of the probabilities with themselves, so its inverse needs two sums over the words.
     """
     group = key >> PLACE_BITS
     number = np.cumsum(np.append(False, group[1:] != group[:-1])[: len(key)])
@@ -317,8 +318,11 @@ def fit_pairs(key: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[n
         z = 1 + np.bincount(number, raised - mass, len(total))
         if done < PAIR_ROUNDS:
             expected = total[number] * raised / z[number]
-            slope = n - expected - PAIR_PRIOR * weight
-            weight += np.clip(slope / (np.maximum(n, expected) + PAIR_PRIOR), -1, 1)
+            slope = (n - expected - PAIR_PRIOR * weight) / (expected + PAIR_PRIOR)
+            turn = raised / z[number] / (expected + PAIR_PRIOR)
+            along = np.bincount(number, expected * slope, len(total))
+            across = 1 - np.bincount(number, expected * turn, len(total))
+            weight += np.clip(slope + turn * (along / across)[number], -1, 1)
     return key, weight, np.log(z)[number]
 
 
@@ -379,7 +383,7 @@ def pair_weights(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def pair_scores(tokens: DataFrame, weights: DataFrame) -> DataFrame:
-    """``row, lift``: what the pairs' weights add to the natural log probability of each row.
+    """``row, lift``: what a pair's weight adds to the natural log probability of its row.
 
     ``tokens`` holds ``row`` and ``key``. A context's weights come before its tokens, so a task holds
     those of one context and class at a time.
@@ -391,13 +395,6 @@ def pair_scores(tokens: DataFrame, weights: DataFrame) -> DataFrame:
 
     def lifted(batches):
         held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-        rows, lifts, waiting = [], [], 0
-
-        def handed_on():
-            row, back = np.unique(np.concatenate(rows), return_inverse=True)
-            lift = np.bincount(back, np.concatenate(lifts))
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(lift)], names=["row", "lift"])
-
         for batch in batches:
             if not len(batch):
                 continue
@@ -416,21 +413,18 @@ def pair_scores(tokens: DataFrame, weights: DataFrame) -> DataFrame:
                 start = np.searchsorted(known, key >> PLACE_BITS << PLACE_BITS)
                 start = np.minimum(start, len(known) - 1)
                 same = known[start] >> PLACE_BITS == key >> PLACE_BITS
-                rows.append(row[same])
-                lifts.append(own[same] - z[start[same]])
-                waiting += len(rows[-1])
-                if waiting >= PAIRS_HELD:
-                    yield handed_on()
-                    rows, lifts, waiting = [], [], 0
+                lift = own[same] - z[start[same]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[same]), pa.array(lift)], names=["row", "lift"]
+                )
             last = batch.column(0)[len(batch) - 1].as_py() >> PLACE_BITS
             stays = known >> PLACE_BITS == last
             held = [known[stays], weight[stays], z[stays]]
-        if waiting:
-            yield handed_on()
 
-    return both.repartition(group).sortWithinPartitions(group, "row").mapInArrow(
-        lifted, "row long, lift double"
-    )
+    # One number to sort by: the context and class, weights before tokens.
+    place = group * 2 + (F.col("row") >= 0).cast("long")
+    together = both.repartition(group).sortWithinPartitions(place)
+    return together.mapInArrow(lifted, "row long, lift double")
 
 
 
