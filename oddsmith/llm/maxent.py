@@ -47,6 +47,8 @@ PLACE_BITS = 18
 CONTEXT_SHIFT = 25
 # Occurrences of a pair that earn it a weight, the weights' prior, and the rounds that fit them.
 LEAST_PAIRS, PAIR_PRIOR, PAIR_ROUNDS = 2, 0.25, 20
+# Pairs whose weights are broadcast, at most; the others are joined.
+FREQUENT_PAIRS = 1 << 20
 # Pairs that a task holds before it works on them.
 PAIRS_HELD = 1 << 18
 
@@ -300,7 +302,7 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_pairs(key: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Keys, weights and logarithms of the normalisers of whole contexts, given sorted counts.
+    """Keys, counts, weights and logarithms of the normalisers of whole contexts, by sorted counts.
 
     Within a context and class, a word has the probability ``mass * exp(weight) / z``, where ``z`` is 1
     plus the sum of ``mass * (exp(weight) - 1)`` over the words with a weight. Each round moves the
@@ -323,11 +325,11 @@ def fit_pairs(key: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[n
             along = np.bincount(number, expected * slope, len(total))
             across = 1 - np.bincount(number, expected * turn, len(total))
             weight += np.clip(slope + turn * (along / across)[number], -1, 1)
-    return key, weight, np.log(z)[number]
+    return key, n, weight, np.log(z)[number]
 
 
 def pair_weights(docs: DataFrame, vocabulary) -> DataFrame:
-    """``key, group, weight, z`` of every pair of words in ``text`` that earned a weight.
+    """``key, n, group, weight, z`` of every pair of words in ``text`` that earned a weight.
 
     Counts go to their context and class, sorted, and are fitted there as they stream by; a task holds
     one context's words of one class, of the frequent words, and a bounded buffer. ``vocabulary`` is
@@ -355,11 +357,11 @@ def pair_weights(docs: DataFrame, vocabulary) -> DataFrame:
         keys, counts, held, least = [], [], 0, PAIRS_HELD
 
         def rows(key, n):
-            key, weight, z = fit_pairs(key, n, vocabulary.value)
+            key, n, weight, z = fit_pairs(key, n, vocabulary.value)
             group = mixed((key >> PLACE_BITS).view(np.uint64)).view(np.int64)
-            columns = [key, group, weight.astype(np.float32), z.astype(np.float32)]
+            columns = [key, n, group, weight.astype(np.float32), z.astype(np.float32)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=["key", "group", "weight", "z"]
+                [pa.array(c) for c in columns], names=["key", "n", "group", "weight", "z"]
             )
 
         for batch in batches:
@@ -379,7 +381,7 @@ def pair_weights(docs: DataFrame, vocabulary) -> DataFrame:
 
     counts = docs.select("text").mapInArrow(counted, "key long, n long")
     together = counts.repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key")
-    return together.mapInArrow(fitted, "key long, group long, weight float, z float")
+    return together.mapInArrow(fitted, "key long, n long, group long, weight float, z float")
 
 
 def pair_scores(tokens: DataFrame, weights: DataFrame) -> DataFrame:
@@ -463,11 +465,15 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: i
     vocabulary = spark.sparkContext.broadcast(Vocabulary(*frequent, alone))
     pairs = landed(pair_weights(learnt, vocabulary), "lm-pairs", TEXT_ROWS)
     mask = repeated_mask(pairs.select("group").distinct(), "group")
-    sent = spark.sparkContext.broadcast((alone, table.astype(np.float32), mask))
+    usual, _ = by_frequency(pairs, "n", FREQUENT_PAIRS)
+    usual = usual.select("key", (F.col("weight") - F.col("z")).alias("lift")).toArrow()
+    order = np.argsort(usual["key"].to_numpy())
+    usual = usual["key"].to_numpy()[order], usual["lift"].to_numpy()[order]
+    sent = spark.sparkContext.broadcast((alone, table.astype(np.float32), mask, *usual))
     end_n = float(class_n[END])
 
     def scored(batches):
-        alone, table, mask = sent.value
+        alone, table, mask, usual, lifts = sent.value
         frequent = vocabulary.value
         reader, classes = WordReader(), ClassReader(alone)
         logs = np.log10(frequent.n + ADDED)
@@ -489,6 +495,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: i
                 values = pa.array(hashed[~found])
                 rare.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values))
                 key, here = frequent.pairs(words, at, found)
+                if len(usual):
+                    at = np.minimum(np.searchsorted(usual, key), len(usual) - 1)
+                    same = usual[at] == key
+                    lift = np.bincount(words.row[here[same]], lifts[at[same]], words.rows)
+                    columns[3][rows] += lift / np.log(10)
+                    key, here = key[~same], here[~same]
                 bit = mixed((key >> PLACE_BITS).view(np.uint64)) & np.uint64(8 * len(mask) - 1)
                 set_ = mask[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)
                 own = (set_ & 1).astype(bool)

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from oddsmith.llm import maxent
 from oddsmith.llm._shared import table
+from oddsmith.llm._words import WordReader
 
 
 def tokens(text):
@@ -86,3 +88,97 @@ def test_gradient_is_the_slope_of_the_likelihood():
     step = 1e-4
     measured = (likelihood(rows + step * toward) - likelihood(rows - step * toward)) / (2 * step)
     assert abs(measured - (slope * toward).sum()) < 1e-2 * abs(measured) + 1e-2
+
+
+def hash_of(words):
+    batch = pa.RecordBatch.from_arrays([pa.array(words)], names=["text"])
+    return [h for piece in WordReader().read(batch, 0) for h in piece.hash.view(np.int64).tolist()]
+
+
+def shared(word):
+    raw = word.encode()
+    return ((raw[-1] * 256 + (raw[-2] if len(raw) > 1 else 0)) * 40503 >> 7) & (maxent.SHARED - 1)
+
+
+def plain_weights(pairs, mass, of_class):
+    """Weights and normalisers by context and class, each fitted by itself with many small steps."""
+    groups = {}
+    for (before, word), n in pairs.items():
+        groups.setdefault((before, of_class[word]), {})[word] = n
+    found = {}
+    for group, seen in groups.items():
+        total = sum(seen.values())
+        kept = {w: n for w, n in seen.items() if n >= maxent.LEAST_PAIRS}
+        weight = dict.fromkeys(kept, 0.0)
+        for _ in range(3000):
+            z = 1 + sum(mass[w] * math.expm1(u) for w, u in weight.items())
+            for w, n in kept.items():
+                expected = total * mass[w] * math.exp(weight[w]) / z
+                weight[w] += 0.5 * (n - expected - maxent.PAIR_PRIOR * weight[w]) / (max(n, expected) + 1)
+        found[group] = weight, 1 + sum(mass[w] * math.expm1(u) for w, u in weight.items())
+    return found
+
+
+@pytest.mark.parametrize("usual", [maxent.FREQUENT_PAIRS, 5])
+def test_score_against_plain_softmax(spark, monkeypatch, usual):
+    monkeypatch.setattr(maxent, "FREQUENT_PAIRS", usual)
+    random = np.random.default_rng(5)
+    lexicon = [a + b for a in "klmnprstvz" for b in ("ado", "eri", "ilu", "ona", "uke", "yso", "ate", "int")]
+    steps = {w: random.choice(lexicon, 4) for w in lexicon}
+    rows = []
+    for k in range(120):
+        text = [str(random.choice(lexicon))]
+        while len(text) < 40:
+            text.append(str(random.choice(steps[text[-1]]) if random.random() < 0.8 else random.choice(lexicon)))
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame([*rows, (200, None), (201, "unheard words")], "doc_id long, text string")
+    learnt = [(i, t) for i, t in rows + [(200, None), (201, "unheard words")] if not held(i)]
+    counts = Counter(t for _, text in learnt for t in tokens(text))
+    ends = counts.pop("\n")
+    by_hash = dict(zip(counts, hash_of(list(counts)), strict=True))
+    ranked = sorted(counts, key=lambda w: (-counts[w], by_hash[w]))
+    top, others = ranked[: maxent.ALONE], ranked[maxent.ALONE :]
+    assert others
+    of_class = {w: shared(w) for w in others}
+    sums, kinds = Counter(), Counter()
+    for w in others:
+        sums[of_class[w]] += counts[w] + 0.1
+        kinds[of_class[w]] += counts[w]
+    mass = {w: (counts[w] + 0.1) / sums[of_class[w]] for w in others}
+    sizes = Counter(of_class.values())
+    pairs = Counter()
+    for _, text in learnt:
+        seq = ["\n", *tokens(text)]
+        pairs.update((a, b) for a, b in zip(seq, seq[1:], strict=False) if b in of_class)
+    fitted = plain_weights(pairs, mass, of_class)
+    assert any(weight for weight, _ in fitted.values())
+    alone = np.array([by_hash[w] for w in top], np.int64).view(np.uint64)
+    trained = docs.filter(~maxent.held_out(docs.doc_id))
+    rows_of = maxent.train(maxent.context_counts(trained, alone), 3)
+
+    def number(word):
+        if word == "\n":
+            return maxent.END
+        return top.index(word) if word in top else maxent.ALONE + 1 + shared(word)
+
+    def score(text):
+        seq, done = ["\n", "\n", *tokens(text)], 0.0
+        for skip, before, word in zip(seq, seq[1:], seq[2:], strict=False):
+            context = np.array([number(skip) * maxent.CLASSES + number(before)])
+            line = sum(rows_of[at[0]] for at in maxent.Weights.features(context))
+            done += (line[number(word)] - np.log(np.exp(line).sum())) / math.log(10)
+            if word == "\n":
+                done += math.log10((ends + 0.1) / (ends + 0.2))
+            elif word in top:
+                done += math.log10((counts[word] + 0.1) / (counts[word] + 0.2))
+            else:
+                c = shared(word)
+                done += math.log10((counts[word] + 0.1) / (kinds[c] + 0.1 * (sizes[c] + 1)))
+                weight, z = fitted.get((before, c), ({}, 1))
+                if word in of_class:
+                    done += (weight.get(word, 0) - math.log(z)) / math.log(10)
+        return done
+
+    found = {r["doc_id"]: r["score"] for r in maxent.score(docs, rounds=3).collect()}
+    for row in docs.collect():
+        assert found[row["doc_id"]] == pytest.approx(score(row["text"]), rel=2e-3, abs=2e-3)
