@@ -264,3 +264,25 @@ def test_listed_backtest(spark, on_disk):
     assert errors.count() == 2
     assert summary.first().mean_log_rmse == pytest.approx(errors.agg(F.avg("log_rmse")).first()[0])
     assert prediction.listed_backtest(on_disk, on_disk, listed)[1].first().races == 2
+
+
+def test_the_learner_reads_a_stored_matrix(matrix, monkeypatch):
+    """Each of its thousands of tasks sends back the counters of the plan it was given."""
+    plans, real = [], models._fit
+
+    def watched(train, *others):
+        plans.append(train._jdf.queryExecution().executedPlan().toString())
+        return real(train, *others)
+
+    monkeypatch.setattr(models, "_fit", watched)
+    models.fit(matrix, RECIPES["v19"].smaller(trees=1, depth=2))
+    assert "FileScan parquet" in plans[0]
+    assert "Join" not in plans[0] and "InMemoryTableScan" not in plans[0]
+
+
+@pytest.mark.parametrize(
+    "rows, cores, tasks",
+    [(0, 8, 1), (60_000, 8, 3), (1_300_000, 12, 12), (36_000_000, 12, 72), (1_000_001, 1, 3)],
+)
+def test_tasks_of_the_learner_follow_the_cores(rows, cores, tasks):
+    assert models._tasks(rows, cores) == tasks
