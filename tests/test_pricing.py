@@ -109,6 +109,15 @@ def test_calibration_grid_against_brute_force(spark):
     assert evaluation.best_k(grid).first().k == min(want, key=lambda k: (want[k], k))
 
 
+def test_races_are_brought_together_before_their_sums(spark):
+    """Sums of runners in any order are more than the runners: 27 numbers to a row."""
+    spread = random_races(spark).repartition("horse_number")
+    plan = evaluation.calibration_grid(spread)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(race_id") == 1
+    moved = plan.index("Exchange hashpartitioning(race_id")
+    assert "HashAggregate(keys=[race_id" in plan[:moved] and "HashAggregate(keys=[race_id" not in plan[moved:]
+
+
 def test_perfect_shares_have_no_error_at_k_1(spark):
     rows = random_races(spark).withColumn("actual_odds", F.lit(1.0))
     exact = pricing.normalise(rows).withColumn("actual_odds", F.col("predicted_odds"))
