@@ -71,6 +71,19 @@ def test_giant_races_are_ranked_alike(spark, skewed):
     assert whole.exceptAll(split).isEmpty() and split.exceptAll(whole).isEmpty()
 
 
+def test_giants_are_found_in_crowded_buckets(spark):
+    keys = [1] * 7 + [2] * 6 + [3] * 2 + [None] * 9
+    lines = spark.createDataFrame([(k,) for k in keys], "l_orderkey long")
+    assert {r[0] for r in race_tables._giants(lines, 6).collect()} == {1, None}
+    assert race_tables._giants(lines, 9).isEmpty()
+
+
+def test_what_follows_from_the_price_is_not_shuffled(spark):
+    lineitem = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    plan = race_tables._runners(lineitem)._jdf.queryExecution().executedPlan().toString()
+    assert "pool" not in plan[plan.index("Exchange hashpartitioning(l_orderkey") :]
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_model_queries_run(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.01")
