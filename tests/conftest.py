@@ -23,6 +23,13 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def own_cache(spark):
+    """Tables that one module caches must not show in the plans of the next."""
+    yield
+    spark.catalog.clearCache()
+
+
 HISTORY_SCHEMA = """race_id string, date_text string, venue_code string, distance int,
  surface string, track_condition string, race_name string, race_class string, horse_number int,
  horse_name string, jockey_name string, odds double, popularity int, finish_position int,
