@@ -151,3 +151,11 @@ def test_long_and_short_lists_keep_the_same_rows(spark, monkeypatch):
     long = joins.keep_listed(rows, listed, "race_id")
     assert short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
     assert joins.restrict_to(rows, listed, "race_id") is rows
+
+
+@pytest.mark.parametrize("name", ["feature_store_roundtrip", "feature_store_in_steps"])
+def test_stored_features_are_rounded_before_the_join(spark, no_broadcast, name):
+    """A horse has one row there, and one for each of its jockeys behind the join."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert "decimal(24,9)" in plan
+    assert "decimal(24,9)" not in plan[: plan.index("Join")]
