@@ -286,3 +286,17 @@ def test_the_learner_reads_a_stored_matrix(matrix, monkeypatch):
 )
 def test_tasks_of_the_learner_follow_the_cores(rows, cores, tasks):
     assert models._tasks(rows, cores) == tasks
+
+
+@pytest.mark.parametrize("jobs, most", [(1, 8), (2, 4), (4, 2)])
+def test_fits_side_by_side_share_the_cores(spark, matrix, monkeypatch, jobs, most):
+    """Fits that each take a task a core only wait for one another."""
+    found, real = [], models._tasks
+    monkeypatch.setattr(models, "_ROWS_PER_TASK", 10)
+    monkeypatch.setattr(models, "_tasks", lambda *a: found.append(real(*a)) or found[-1])
+    recipe = RECIPES["v19"].smaller(trees=1, depth=2)
+    rows = matrix.withColumn("actual_odds", F.col("odds"))
+    dates = sorted(r[0] for r in rows.select("date_text").distinct().collect())[-jobs:]
+    targets = rows.where(F.col("date_text").isin(dates))
+    assert prediction.backtest_scores(rows, targets, recipe).count() == targets.count()
+    assert found == [most] * jobs
