@@ -4,12 +4,14 @@ from dataclasses import replace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from checks import race_tables
 from checks.compare import database, differences
 from checks.oracle import ORACLE
 from checks import queries
 from checks.queries import QUERIES
+from oddsmith.sources import results
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +86,57 @@ def test_what_follows_from_the_price_is_not_shuffled(spark):
     assert "pool" not in plan[plan.index("Exchange hashpartitioning(l_orderkey") :]
 
 
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """The tables with repeated and null ids of parts and suppliers, and lines without either."""
+    folder = tmp_path_factory.mktemp("odd")
+    connection = duckdb.connect()
+    changed = {
+        "orders": "SELECT * FROM t", "lineitem": """SELECT CASE WHEN n % 11 = 0 THEN NULL ELSE l_partkey END
+          AS l_partkey, CASE WHEN n % 13 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey,
+          * EXCLUDE (l_partkey, l_suppkey, n) FROM (SELECT *, row_number() OVER () AS n FROM t)""",
+        "part": """SELECT * FROM t WHERE p_partkey % 5 > 0 UNION ALL SELECT * FROM t WHERE p_partkey % 7 = 0
+          UNION ALL SELECT * REPLACE (NULL AS p_partkey) FROM t WHERE p_partkey < 9""",
+        "supplier": "SELECT * FROM t WHERE s_suppkey > 3",
+    }
+    for name, query in changed.items():
+        connection.execute(f"CREATE OR REPLACE VIEW t AS SELECT * FROM '{SF}/{name}.parquet'")
+        connection.execute(f"COPY ({query}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("giant", [6, race_tables.GIANT_RACE])
+@pytest.mark.parametrize("most", ["10MB", "-1"])
+def test_names_joined_to_lines_are_those_joined_to_runners(spark, odd, tmp_path, giant, most):
+    read = {n: spark.read.parquet(f"{odd}/{n}.parquet") for n in ("lineitem", "orders", "part", "supplier")}
+    horse = race_tables._named(read["part"], "p_partkey", "H")
+    jockey = race_tables._named(read["supplier"], "s_suppkey", "J")
+    want = results.runners(race_tables._race(read["lineitem"], read["orders"]), horse, jockey)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        found = race_tables.landed_runners(spark, odd, str(tmp_path), giant)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.columns == want.columns and found.count() == want.count() > 0
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def test_runners_are_made_once_and_moved_once(spark, tmp_path, monkeypatch):
+    """Ranges found by a sample of the rows need all of them twice, and stored in between."""
+    plans, real = [], results.by_race
+
+    def watched(rows, *others):
+        plans.append(real(rows, *others)._jdf.queryExecution().executedPlan().toString())
+        return real(rows, *others)
+
+    monkeypatch.setattr(results, "by_race", watched)
+    found = race_tables.landed_runners(spark, SF, str(tmp_path))
+    assert "rangepartitioning" not in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(l_orderkey" in plans[0] and "Sort [date_text" in plans[0]
+    places = found.select("race_id", F.input_file_name().alias("file")).distinct()
+    assert places.groupBy("race_id").count().where("count > 1").isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_model_queries_run(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.01")
