@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmith.functions.expressions import race_day
-from oddsmith.operators import asof, history
+from oddsmith.operators import asof, history, joins
 from oddsmith.operators.joins import restrict_to
 from oddsmith.settings import Course, HistoryWindow
 
@@ -222,3 +222,56 @@ def test_restriction_leaves_features_unchanged(make_history):
     assert sorted(part) == ["A", "B"]
     for horse, row in part.items():
         assert row == pytest.approx(whole[horse])
+
+
+def keyless(rows):
+    """Some rows without a horse, some without a day, and each seventh twice."""
+    n = F.col("horse_number")
+    changed = rows.withColumns(
+        {
+            "horse_name": F.when(n % 13 != 0, F.col("horse_name")),
+            "date_text": F.when(n % 17 != 0, F.col("date_text")),
+            "horse_number": F.when(n % 11 != 0, n),
+        }
+    )
+    return changed.unionByName(changed.where(n % 7 == 0)).localCheckpoint()
+
+
+def test_starts_are_moved_once(spark, make_history):
+    """Reduced by day first, moved on to their horse and back to their rows, they take six times as much."""
+    rows = random_history(make_history, 7, n=20)
+    asked = rows.select("race_id", "horse_number", "horse_name", "date_text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = asof.asof_horse_features(rows, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 20, 60])
+def test_horses_with_many_rows_get_the_same_features(monkeypatch, make_history, most):
+    rows = keyless(random_history(make_history, 8, hot=True))
+    # ties between equal starts may fall either way, so asked rows alone are repeated
+    past = rows.dropDuplicates(["race_id", "horse_number", "horse_name", "date_text"]).localCheckpoint()
+    asked = rows.select("race_id", "horse_number", "horse_name", "date_text")
+    window = HistoryWindow(recent_days=200)
+    want = asof.asof_horse_features(past, asked, window=window)
+    monkeypatch.setattr(joins, "HOT_ROWS", most)
+    found = asof.asof_horse_features(past, asked, window=window)
+    assert found.columns == want.columns and found.count() == asked.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_row" in plan and "partial" not in plan and "Join LeftOuter" in plan
+    doubles = [name for name, kind in want.dtypes if kind == "double"]
+    a, b = (t.withColumns({c: F.round(c, 9) for c in doubles}) for t in (found, want))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_rows_without_horse_or_day_have_no_features(make_history):
+    rows = keyless(random_history(make_history, 9))
+    asked = rows.select("race_id", "horse_number", "horse_name", "date_text")
+    found = asof.asof_horse_features(rows, asked)
+    lone = found.where("horse_name IS NULL OR date_text IS NULL")
+    names = found.columns[4:]
+    assert lone.count() == asked.where("horse_name IS NULL OR date_text IS NULL").count() > 0
+    assert lone.where(" OR ".join(f"{name} IS NOT NULL" for name in names)).isEmpty()

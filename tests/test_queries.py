@@ -1,5 +1,6 @@
 """Every registered query against its SQL, on the given tables and on skewed ones."""
 
+import time
 from dataclasses import replace
 
 import duckdb
@@ -137,6 +138,25 @@ def test_runners_are_made_once_and_moved_once(spark, tmp_path, monkeypatch):
     assert places.groupBy("race_id").count().where("count > 1").isEmpty()
 
 
+def test_files_of_shuffles_do_not_outlive_the_runners(spark, tmp_path):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = (file.getName() for file in spark._jvm.scala.jdk.CollectionConverters.SeqHasAsJava(held.getAllFiles()).asJava())
+        return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+    before = shuffled()
+    race_tables.landed_runners(spark, SF, str(tmp_path))
+    read = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(read) == "false"
+    for _ in range(50):
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_model_queries_run(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.01")
