@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions.expressions import race_day
 from oddsmith.operators import asof, history, joins
-from oddsmith.operators.joins import restrict_to
+from oddsmith.operators.joins import restrict_to, thinned_to
+from oddsmith.plans import prediction
 from oddsmith.settings import Course, HistoryWindow
 
 
@@ -275,3 +276,30 @@ def test_rows_without_horse_or_day_have_no_features(make_history):
     names = found.columns[4:]
     assert lone.count() == asked.where("horse_name IS NULL OR date_text IS NULL").count() > 0
     assert lone.where(" OR ".join(f"{name} IS NOT NULL" for name in names)).isEmpty()
+
+
+def test_history_is_thinned_to_keys_too_many_for_a_list(spark, monkeypatch):
+    past = spark.range(40_000).selectExpr("if(id % 100 = 0, null, concat('H', id)) AS horse_name", "id")
+    wanted = past.where("id < 2000 OR horse_name IS NULL")
+    monkeypatch.setattr(joins, "MAX_LISTED_ROWS", 10)
+    found = thinned_to(past, wanted, "horse_name", wanted.count())
+    assert found.columns == past.columns
+    assert found.where("id < 2000 AND horse_name IS NOT NULL").count() == 1980
+    assert found.count() < 2100
+    monkeypatch.setattr(joins, "MASK_WORDS", 1)
+    full = thinned_to(past, wanted, "horse_name", wanted.count())
+    assert full.where("id < 2000 AND horse_name IS NOT NULL").count() == 1980
+
+
+def test_backtest_rows_move_the_history_of_their_horses_once(monkeypatch, make_history):
+    past = random_history(make_history, 10)
+    rows = past.where("horse_name IN ('A', 'B')").select(*past.columns[:2], "horse_number", "horse_name", "jockey_name", "handicap")
+    listed = prediction.asof_matrix(past, rows)
+    monkeypatch.setattr(joins, "MAX_LISTED_ROWS", 1)
+    many = prediction.asof_matrix(past, rows)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(_row") == 1
+    assert plan.count("bit_or") == 3  # horses, jockeys, and horses for the pairs
+    doubles = [name for name, kind in many.dtypes if kind == "double"]
+    a, b = (t.withColumns({c: F.round(c, 9) for c in doubles}) for t in (listed, many))
+    assert a.count() == rows.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
