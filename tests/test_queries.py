@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the given tables and on skewed ones."""
 
+import itertools
+import threading
 import time
 from dataclasses import replace
 
@@ -12,6 +14,7 @@ from checks.compare import database, differences
 from checks.oracle import ORACLE
 from checks import queries
 from checks.queries import QUERIES
+from oddsmith.operators import models
 from oddsmith.sources import results
 
 SF = "/root/testdata/sf0.001"
@@ -163,6 +166,33 @@ def test_model_queries_run(spark, name):
     assert rows.count() > 0
 
 
+def test_search_fits_every_set_before_every_day(spark, monkeypatch):
+    """The whole grid of the documented ranges, and no day scored by a model that missed earlier rows."""
+    t = queries.open_tables(spark, "/root/testdata/sf0.01")
+    train, entries = queries._backtest_input(t)
+    days = {r.date_text for r in entries.select("date_text").distinct().collect()}
+    fits, lock = [], threading.Lock()
+
+    def fit(rows, recipe, at_once=1):
+        bounds = rows.agg(F.max("date_text"), F.count("*")).first()
+        with lock:
+            fits.append((recipe.learning_rate, recipe.depth, recipe.feature_fraction, *bounds))
+
+    def score(model, rows):
+        return rows.withColumn("score", F.lit(-1.0))
+
+    monkeypatch.setattr(models, "fit", fit)
+    monkeypatch.setattr(models, "score", score)
+    monkeypatch.setattr(queries.Tables, "once", lambda self, name, build: build())
+    monkeypatch.setattr(queries, "_backtest_input", lambda t: (train, entries))
+    found = queries.model_param_search(t)
+    before = [train.where(F.col("date_text") < day).agg(F.max("date_text"), F.count("*")).first() for day in days]
+    grid = itertools.product((0.01, 0.03, 0.05), (4, 5, 6), (0.6, 0.8))
+    assert len(days) > 1
+    assert sorted(fits) == sorted((*learner, *rows) for learner in grid for rows in before)
+    assert found.count() == len(race_tables.SEARCHED) == 18
+
+
 def test_backtests_cover_every_race_to_predict(spark):
     t = queries.open_tables(spark, "/root/testdata/sf0.01")
     races = {r.race_id for r in t.targets.select("race_id").collect()}
